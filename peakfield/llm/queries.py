@@ -11,6 +11,7 @@ from .bpe import bpe_digest
 from .exact_dedup import exact_dedup_digest
 from .packing import pack
 from .quality import quality_digest
+from .secrets import secrets_digest
 
 
 def tokenizer_path() -> str:
@@ -23,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": lambda spark, d: quality_digest(documents(spark, d)),
         "op3_exact_dedup": lambda spark, d: exact_dedup_digest(documents(spark, d)),
+        "op4_secrets": lambda spark, d: secrets_digest(documents(spark, d)),
         "op8_packing": lambda spark, d: pack(documents(spark, d), tokenizer_path()),
         "op10_bpe": lambda spark, d: bpe_digest(documents(spark, d), tokenizer_path()),
     }
