@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ._common import documents
 from .bpe import bpe_digest
 from .exact_dedup import exact_dedup_digest
+from .lm import score_digest
 from .packing import pack
 from .pii import pii_digest
 from .quality import quality_digest
@@ -26,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality": lambda spark, d: quality_digest(documents(spark, d)),
         "op3_exact_dedup": lambda spark, d: exact_dedup_digest(documents(spark, d)),
         "op4_secrets": lambda spark, d: secrets_digest(documents(spark, d)),
+        "op6_lm_score": lambda spark, d: score_digest(documents(spark, d)),
         "op8_packing": lambda spark, d: pack(documents(spark, d), tokenizer_path()),
         "op9_pii": lambda spark, d: pii_digest(documents(spark, d)),
         "op10_bpe": lambda spark, d: bpe_digest(documents(spark, d), tokenizer_path()),
