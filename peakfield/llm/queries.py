@@ -10,6 +10,7 @@ from ._common import documents
 from .bpe import bpe_digest
 from .exact_dedup import exact_dedup_digest
 from .lm import score_digest
+from .near_dedup import near_components
 from .packing import pack
 from .pii import pii_digest
 from .quality import quality_digest
@@ -25,6 +26,7 @@ def tokenizer_path() -> str:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": lambda spark, d: quality_digest(documents(spark, d)),
+        "op2_near_dedup": lambda spark, d: near_components(documents(spark, d), k=3, threshold=0.85),
         "op3_exact_dedup": lambda spark, d: exact_dedup_digest(documents(spark, d)),
         "op4_secrets": lambda spark, d: secrets_digest(documents(spark, d)),
         "op6_lm_score": lambda spark, d: score_digest(documents(spark, d)),
