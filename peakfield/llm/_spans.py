@@ -15,22 +15,31 @@ def no_spans() -> Column:
     return F.expr(NONE)
 
 
+#: A code point that Unicode sets aside as no character; texts that hold it take another way.
+MARK = "\ufdd0"
+
+
 def find(text: Column, pattern: str, ok: Callable[[Column], Column] | None = None) -> Column:
     """(start, end, found) of the leftmost non-overlapping matches, in code points, end exclusive.
 
-    The text between matches comes from a split by the same pattern, so running sums of the
-    lengths give the places. ``ok`` drops matches afterwards, without another try inside them."""
-    found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    pairs = F.arrays_zip(found.alias("found"), F.slice(between, 1, F.greatest(F.size(found), F.lit(1))).alias("before"))
-    start = F.struct(F.lit(0).alias("at"), no_spans().alias("out"))
+    One pass marks both ends of every match, so that a split at the marks gives the text between
+    matches and the matches by turns, and running sums of the lengths give the places. ``ok``
+    drops matches afterwards, without another try inside them."""
+    marked = F.split(F.regexp_replace(text, pattern, f"{MARK}$0{MARK}"), MARK, -1)
+    between = F.split(text, pattern, -1)
+    matches = F.concat(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.array(F.lit("")))
+    by_turns = F.flatten(F.zip_with(between, matches, lambda a, b: F.array(a, b)))
+    turns = F.when(F.contains(text, F.lit(MARK)), by_turns).otherwise(marked)
+    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), no_spans().alias("out"))
 
     def step(acc: Column, p: Column) -> Column:
-        begin = acc["at"] + F.length(p["before"])
-        end = begin + F.length(p["found"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), p["found"].alias("found")))).alias("out"))
+        end = acc["at"] + F.length(p)
+        span = F.array(F.struct(acc["at"].alias("start"), end.alias("end"), p.alias("found")))
+        return F.struct(end.alias("at"), (~acc["inside"]).alias("inside"), F.when(acc["inside"] & (p != ""), F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
 
-    out = F.aggregate(F.when(F.size(found) > 0, pairs).otherwise(F.slice(pairs, 1, 0)), start, step, lambda acc: acc["out"])
-    return out if ok is None else F.filter(out, lambda s: ok(s["found"]))
+    out = F.aggregate(turns, start, step, lambda acc: acc["out"])
+    found = F.when(text.rlike(pattern), out).otherwise(no_spans())
+    return found if ok is None else F.filter(found, lambda s: ok(s["found"]))
 
 
 def joined(kinds: Iterable[tuple[str, Column]]) -> Column:

@@ -55,8 +55,8 @@ def luhn(m: Column) -> Column:
 def base_kinds(text: Column) -> dict[str, Column]:
     """The spans of each kind that is known by its form."""
 
-    def where(hint: str, spans: Column) -> Column:
-        return F.when(F.contains(text, F.lit(hint)), spans).otherwise(no_spans())
+    def where(hint: Column, spans: Column) -> Column:
+        return F.when(hint, spans).otherwise(no_spans())
 
     def count(m: Column, lo: int, hi: int) -> Column:
         return F.length(_digits(m)).between(lo, hi)
@@ -67,8 +67,9 @@ def base_kinds(text: Column) -> dict[str, Column]:
         "card": (CARD, lambda m: count(m, 14, 19) & luhn(m)),
         "phone": (PHONE, lambda m: count(m, 10, 15)),
     }
-    hints = {"email": "@", "ip": ".", "phone": "+"}
-    return {k: where(hints[k], find(text, *v)) if k in hints else find(text, *v) for k, v in kinds.items()}
+    digit = text.rlike("[0-9]")
+    hints = {"email": F.contains(text, F.lit("@")), "ip": digit, "card": digit, "phone": F.contains(text, F.lit("+")) & digit}
+    return {k: where(hints[k], find(text, *v)) for k, v in kinds.items()}
 
 
 def _context(before: Column) -> Column:
@@ -81,7 +82,7 @@ def _context(before: Column) -> Column:
 def instances(based: DataFrame) -> DataFrame:
     """(doc_id, h, start, end, found, seed, pattern): a row for each pattern before each
     identifier-like word. ``seed``: a span found by form touches the word."""
-    said = F.filter(find(F.col("text"), CANDIDATE), lambda s: F.length(s["found"]) >= 5)
+    said = F.filter(F.when(F.col("text").rlike("[0-9@]"), find(F.col("text"), CANDIDATE)).otherwise(no_spans()), lambda s: F.length(s["found"]) >= 5)
     words = based.select("doc_id", "h", "text", "base", F.explode(said).alias("s"))
     seed = F.exists("base", lambda b: (b["start"] < F.col("s.end")) & (b["end"] > F.col("s.start")))
     near = _context(F.substring(F.col("text"), F.greatest(F.col("s.start") - 79, F.lit(1)), F.least(F.col("s.start"), F.lit(80))))

@@ -29,6 +29,7 @@ TEXTS = [
     "+1 (555) 123-4567 +44 20 7946 0958. +12345 ++1 555 123 4567 8 +1 555 123 4567 8901 2",
     "+1-555-123-4567+1-555-123-4567 call 4111 1111 1111 1111+1 5551234567 ",
     "ſKİ" * 5 + "x@y.zz 10.0.0.1",
+    "\ufdd0 x@y.zz\ufdd0 10.0.0.1 \ufdd0",
 ]
 
 

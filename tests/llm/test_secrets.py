@@ -21,7 +21,7 @@ MORE = ["ghp_" + "a1B2" * 10, "-----BEGIN RSA PRIVATE KEY-----", "xoxb-123456789
 
 
 def cases():
-    texts = ['Password: "hunter22" x', "token:token:abcdefgh", "API_KEY==abcdef apikey = 'zzz' secret=ab.cd/ef+", "é\U0001f600 AKIA" + "B7" * 8 + " AKIAABC", "deadbeef" * 3 + " " + "deadbeef" * 2, "paſsword=longenough PASSWD=K123456", "AKIAAKIA" + "Z" * 30, "token=abcdef," * 200]
+    texts = ['Password: "hunter22" x', "token:token:abcdefgh", "API_KEY==abcdef apikey = 'zzz' secret=ab.cd/ef+", "é\U0001f600 AKIA" + "B7" * 8 + " AKIAABC", "deadbeef" * 3 + " " + "deadbeef" * 2, "paſsword=longenough PASSWD=K123456", "AKIAAKIA" + "Z" * 30, "token=abcdef," * 200, "\ufdd0 token=\ufdd0 secret=abcdef\ufdd0"]
     made = ["".join(p) for p in product(("token", "Secret", "passwd"), ("", '"'), ("", "  "), (":", "="), ("", " '"), ("abc", "abc-def_/", "AKIA" + "Q" * 16))]
     return [*rows(), *enumerate([*texts, *MORE, " \n".join(made), *(prose(i, 20) + " " + m for i, m in enumerate(made))], 1000)]
 
