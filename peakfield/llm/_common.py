@@ -40,9 +40,9 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(text, WORD_GAP), "")
 
 
-def small_batches(spark: SparkSession) -> None:
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Bound what one Arrow batch holds, as a few documents may be very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
 
 

@@ -43,7 +43,7 @@ HELD_AS = {3: np.float32, 4: np.uint8, 5: np.uint8}
 POWERS = np.r_[0, 2 ** (np.arange(255) / 8)].astype(np.float32)
 BLOCK_ROWS = 1 << 12
 #: Bytes of text that are turned into arrays at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 DISCOUNT = 0.5
 #: Bytes of the token table that may be broadcast; beyond, tokens and counts meet in a join.
 TOKEN_TABLE_BYTES = 96 << 20
@@ -109,17 +109,17 @@ def blend(counts: np.ndarray, below: np.ndarray) -> np.ndarray:
 
 
 def table_of_three(counts: np.ndarray) -> np.ndarray:
-    """P(symbol | three before) of all contexts, blended from the counts of 0 to 3 symbols."""
-    levels = [counts.astype(np.float64).reshape(-1, SYMBOLS)]
+    """P(symbol | three before) of all contexts, blended from the counts of 0 to 3 symbols. It
+    takes the counts' own place."""
+    levels = [counts]
     for _ in range(3):  # the counts of a shorter context: summed over its extensions
-        levels.append(levels[-1].reshape(SYMBOLS, -1, SYMBOLS).sum(0))
+        levels.append(levels[-1].reshape(SYMBOLS, -1, SYMBOLS).sum(0, dtype=np.float64))
     p = np.full((1, SYMBOLS), 1 / SYMBOLS)
     for level in levels[:0:-1]:
         p = blend(level, p[np.arange(len(level)) % len(p)])
-    out = np.empty(levels[0].shape, np.float32)
-    for lo in range(0, len(out), BLOCK_ROWS):
-        out[lo : lo + BLOCK_ROWS] = blend(levels[0][lo : lo + BLOCK_ROWS], p[np.arange(lo, lo + BLOCK_ROWS) % len(p)])
-    return out
+    for lo in range(0, len(counts), BLOCK_ROWS):
+        counts[lo : lo + BLOCK_ROWS] = blend(counts[lo : lo + BLOCK_ROWS], p[np.arange(lo, lo + BLOCK_ROWS) % len(p)])
+    return counts
 
 
 class Trie:
@@ -132,7 +132,7 @@ class Trie:
             levels[level][block * BLOCK_ROWS : block * BLOCK_ROWS + len(rows)] = rows
         self.three, self.four, self.five = table_of_three(levels[3]), levels[4], levels[5]
         self.total = np.concatenate([POWERS[self.five[i : i + BLOCK_ROWS]].sum(1) for i in range(0, len(self.five), BLOCK_ROWS)])
-        self.kinds = np.count_nonzero(self.five, 1)
+        self.kinds = np.count_nonzero(self.five, 1).astype(np.uint8)
         self.other = -math.log10(max(1, int((code == OTHER).sum())))
 
     def log10(self, data: list[bytes]) -> np.ndarray:
@@ -305,7 +305,7 @@ def _trie(name: str, model: Broadcast) -> Trie:
 def score_digest(docs: DataFrame, *, mod: int = 7, held: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score (unigram log10 with add-one
     smoothing), score (PPM log10 probability of the text and its end)."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 1000)
     rows = texts(docs)
     training = _training(rows, mod, held)
     tokens = cut(token_counts(training).select(F.xxhash64(F.col("token")).alias("t"), "token", "c"))
