@@ -15,6 +15,7 @@ from .packing import pack
 from .pii import pii_digest
 from .quality import quality_digest
 from .secrets import secrets_digest
+from .toxicity import toxicity_digest
 
 
 def tokenizer_path() -> str:
@@ -30,6 +31,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_exact_dedup": lambda spark, d: exact_dedup_digest(documents(spark, d)),
         "op4_secrets": lambda spark, d: secrets_digest(documents(spark, d)),
         "op6_lm_score": lambda spark, d: score_digest(documents(spark, d)),
+        "op7_toxicity": lambda spark, d: toxicity_digest(documents(spark, d), spark.read.parquet(f"{d}/labels.parquet")),
         "op8_packing": lambda spark, d: pack(documents(spark, d), tokenizer_path()),
         "op9_pii": lambda spark, d: pii_digest(documents(spark, d)),
         "op10_bpe": lambda spark, d: bpe_digest(documents(spark, d), tokenizer_path()),
