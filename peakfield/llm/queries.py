@@ -24,6 +24,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # it imports this package
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": lambda spark, d: quality_digest(documents(spark, d)),
@@ -35,6 +41,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": lambda spark, d: pack(documents(spark, d), tokenizer_path()),
         "op9_pii": lambda spark, d: pii_digest(documents(spark, d)),
         "op10_bpe": lambda spark, d: bpe_digest(documents(spark, d), tokenizer_path()),
+        "pipeline": _pipeline,
     }
 
 
