@@ -45,17 +45,24 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_sets(data: list[str], k: int) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text."""
+def word_hashes(data: list[str]) -> list[np.ndarray]:
+    """The hashes of each text's words, A-Z in lower case, in order."""
     split = [t.encode().lower().split() for t in data]
     distinct = list({w for ws in split for w in ws})
     number = dict(zip(distinct, range(len(distinct)))).__getitem__
     hashes = np.fromiter(map(xxhash.xxh64_intdigest, distinct), np.uint64, len(distinct))
     sizes = [len(ws) for ws in split]
     flat = hashes[np.fromiter((number(w) for ws in split for w in ws), np.int64, sum(sizes))]
-    whole, out, at = _shingles(flat, k), [], 0
-    for n in sizes:
-        x = np.sort(whole[at : at + n - k + 1] if n >= k else _shingles(flat[at : at + n], max(1, n)))
+    return np.split(flat, np.cumsum(sizes)[:-1]) if data else []
+
+
+def shingle_sets(data: list[str], k: int) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each text."""
+    words, out, at = word_hashes(data), [], 0
+    whole = _shingles(np.concatenate([*words, np.zeros(0, np.uint64)]), k)
+    for h in words:
+        n = len(h)
+        x = np.sort(whole[at : at + n - k + 1] if n >= k else _shingles(h, max(1, n)))
         out.append(x[np.r_[True, x[1:] != x[:-1]]] if n else x)
         at += n
     return out

@@ -15,6 +15,7 @@ from .packing import pack
 from .pii import pii_digest
 from .quality import quality_digest
 from .secrets import secrets_digest
+from .substring_dedup import repeated_passages
 from .toxicity import toxicity_digest
 
 
@@ -36,6 +37,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_near_dedup": lambda spark, d: near_components(documents(spark, d), k=3, threshold=0.85),
         "op3_exact_dedup": lambda spark, d: exact_dedup_digest(documents(spark, d)),
         "op4_secrets": lambda spark, d: secrets_digest(documents(spark, d)),
+        "op5_substring_dedup": lambda spark, d: repeated_passages(documents(spark, d)),
         "op6_lm_score": lambda spark, d: score_digest(documents(spark, d)),
         "op7_toxicity": lambda spark, d: toxicity_digest(documents(spark, d), spark.read.parquet(f"{d}/labels.parquet")),
         "op8_packing": lambda spark, d: pack(documents(spark, d), tokenizer_path()),

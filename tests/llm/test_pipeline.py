@@ -40,4 +40,4 @@ def test_names(spark):
     import corpus_pipeline
 
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "exact_dedup", "near_dedup", "secrets", "packing"]
-    assert len([k for k in queries() if k.startswith("op")]) >= 9
+    assert len([k for k in queries() if k.startswith("op")]) == 10
