@@ -105,4 +105,6 @@ def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame
     order = measured_order(docs, rules)
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
     judged = features(docs.select(row.alias("doc_id"), "text"))
-    return judged.where(_cascade(order).isNull()).select("doc_id.*")
+    # A filter would be pushed under the features' projections, copying them into each rule.
+    kept = F.when(_cascade(order).isNull(), F.array("doc_id"))
+    return judged.select(F.explode(kept).alias("row")).select("row.*")
