@@ -206,7 +206,7 @@ def smacof(pairs: np.ndarray, target: np.ndarray, weight: np.ndarray, start: np.
     np.add.at(v, (i, j), -weight)
     np.add.at(v, (j, i), -weight)
     v -= np.diag(v.sum(1))
-    inverse, last = np.linalg.pinv(v, hermitian=True), np.inf
+    inverse, last = np.linalg.pinv(v, rcond=1e-10, hermitian=True), np.inf
     for _ in range(rounds):
         gap = x[i] - x[j]
         d = np.maximum(np.linalg.norm(gap, axis=1), 1e-12)
