@@ -49,7 +49,7 @@ def test_dense():
     z = M.smacof(np.c_[i, j], d[i, j], np.ones(len(i)), y + r.normal(size=y.shape) * 0.01, 500, 1e-12)
     assert np.allclose(np.linalg.norm(z[:, None] - z, axis=2), d, atol=1e-3)
     w = (d < 1).astype(float) - np.eye(12)
-    s = M.isorank(w, w, x, x)
+    s = M.isorank(w, w, np.c_[x, np.eye(12)], np.c_[x, np.eye(12)], alpha=0.1)
     assert s.shape == (12, 12) and (s.argmax(1) == np.arange(12)).mean() > 0.5
     merges = M.average_linkage(np.array([[0, 1, 4], [1, 0, 6], [4, 6, 0]], float))
     assert merges == [(0, 1, 1.0, 2), (2, 3, 5.0, 3)] or merges == [(0, 1, 1.0, 2), (3, 2, 5.0, 3)]
