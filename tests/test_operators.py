@@ -263,3 +263,15 @@ def test_entry_without_llm(spark, monkeypatch):
 
     monkeypatch.setattr(e, "llm_queries", None)
     assert not [k for k in e.queries() if k.startswith("op")] and e.entry(spark).count() == 1
+
+
+def test_tree_landscape(spark):
+    from peakfield.operators.tree_graphs import pairwise_distances, tree_landscape
+
+    rows = [("a", "AAAAAAAA"), ("b", "AAAAAAAC"), ("c", "CCCCCCAA"), ("d", "CCCCCCA-")]
+    alignment = spark.createDataFrame([(n, list(s)) for n, s in rows], "name string, symbols array<string>")
+    d = {(r.u, r.v): r.distance for r in pairwise_distances(alignment).collect()}
+    assert d[("a", "b")] == 1 / 8 and d[("c", "d")] == 0 and d[("a", "d")] == 6 / 7
+    nodes, edges = tree_landscape(alignment, phylo.rate_matrix(np.ones((2, 2)), np.array([0.5, 0.5])), "AC")
+    assert nodes.count() == edges.count() + 1 == 6
+    assert {r.role for r in nodes.collect()} == {"extant", "ancestral"} and edges.agg(F.min("branch_length")).first()[0] >= 0
