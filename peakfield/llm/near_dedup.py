@@ -45,15 +45,22 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class _Numbers(dict):
+    """Gives each new word the next number."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 def word_hashes(data: list[str]) -> list[np.ndarray]:
     """The hashes of each text's words, A-Z in lower case, in order."""
+    numbers = _Numbers()
+    number = numbers.__getitem__
     split = [t.encode().lower().split() for t in data]
-    distinct = list({w for ws in split for w in ws})
-    number = dict(zip(distinct, range(len(distinct)))).__getitem__
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, distinct), np.uint64, len(distinct))
-    sizes = [len(ws) for ws in split]
-    flat = hashes[np.fromiter((number(w) for ws in split for w in ws), np.int64, sum(sizes))]
-    return np.split(flat, np.cumsum(sizes)[:-1]) if data else []
+    at = [np.fromiter(map(number, ws), np.int64, len(ws)) for ws in split]
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, numbers), np.uint64, len(numbers))
+    return [hashes[i] for i in at]
 
 
 def shingle_sets(data: list[str], k: int) -> list[np.ndarray]:
