@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .edges import nearest
 from .graph import both_ways, components, cut
+from .matching import gapped_soft_score
 
 MAX_ENTRIES, MAX_PRODUCTS = 50_000_000, 1_000_000_000
 
@@ -63,3 +67,36 @@ def kernel(nodes: DataFrame, edges: DataFrame, t: float | None, *, threshold: fl
         p = power(step, int(t)).where("i < j")
         found = p.join(pi.select(F.col("node").alias("i"), F.col("pi").alias("pu")), "i").join(pi.select(F.col("node").alias("j"), F.col("pi").alias("pv")), "j").select(F.col("i").alias("u"), F.col("j").alias("v"), (F.col("p") * F.sqrt(F.col("pu") / F.col("pv"))).alias("weight"))
     return found.where(F.col("weight") > threshold)
+
+
+def aligned_scores(pairs: DataFrame, rows: DataFrame, scores: np.ndarray, gap: float = -2.0) -> DataFrame:
+    """(u, v, score): the soft score of aligned rows(node, posterior), whose last entries are gaps,
+    over the places that both are expected to hold."""
+    ends = pairs.select("u", "v").join(rows.select(F.col("node").alias("u"), F.col("posterior").alias("p")), "u").join(rows.select(F.col("node").alias("v"), F.col("posterior").alias("q")), "v")
+    kind = ends.schema["u"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for p, q in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                p, q = np.array(p), np.array(q)
+                size = float((1 - p[:, -1] * q[:, -1]).sum())
+                out.append(gapped_soft_score(p, q, scores, gap) / max(size, 1e-12))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], ["u", "v", "score"])
+
+    return ends.select("u", "v", "p", "q").mapInArrow(run, f"u {kind}, v {kind}, score double")
+
+
+def score_affinity(scored: DataFrame, tau: float) -> DataFrame:
+    """(u, v, weight): exp((score - the greatest score) / tau), never below the least normal float."""
+    if not 0 < tau < math.inf:
+        raise ValueError("tau: finite and above 0")
+    top = scored.agg(F.max("score")).first()[0]
+    return scored.select("u", "v", F.exp(F.greatest((F.col("score") - F.lit(top)) / tau, F.lit(math.log(2.2250738585072014e-308)))).alias("weight"))
+
+
+def evolutionary_kernel(vectors: DataFrame, rows: DataFrame, scores: np.ndarray, *, k: int, tau: float, t: float | None, threshold: float = 0.0) -> DataFrame:
+    """The diffusion kernel over nearest neighbours, whose edges weigh by their alignment score."""
+    near = nearest(vectors, k).select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v")).distinct()
+    edges = cut(score_affinity(cut(aligned_scores(near, rows, scores)), tau))
+    return kernel(vectors.select("node"), edges, t, threshold=threshold)
