@@ -3,8 +3,9 @@
 Seed entities (emails, addresses, cards, phone numbers found by form) stand after lexical patterns:
 the one or two words before them. Patterns and the identifier-like words that follow them form a
 bipartite graph, over all documents. Spark scores it in rounds: a pattern by the mean score of its
-instances, a word by its best patterns. Words after patterns of high score that no form covers
-become spans of kind ``context``.
+instances, a word by its best patterns. A pattern of high score counts only if identifiers follow
+most of its occurrences anywhere, as any common word stands before some. Words after the patterns
+left that no form covers become spans of kind ``context``.
 
 Defined results: a null text counts as empty and has no spans; repeated rows get equal results and
 count once each as evidence; a null doc_id is joined like any other; an empty table gives an empty
@@ -21,8 +22,11 @@ from pyspark.sql import functions as F
 from ._common import cut, texts
 from ._spans import find, joined, no_spans
 
-#: A pattern's score at which its instances are taken, the distinct seeds it needs, and rounds.
+#: A pattern's score at which it may be taken, the distinct seeds it needs, and rounds.
 TAKE_SCORE, LEAST_SEEDS, ROUNDS = 0.7, 5, 3
+#: The share of a pattern's occurrences that identifiers must follow, and the patterns that may be
+#: broadcast to count occurrences; more are joined after counting.
+LEAST_SHARE, BROADCAST_PATTERNS = 0.5, 100_000
 #: Evidence against a pattern that is assumed before any is seen.
 DOUBT = 2.0
 
@@ -107,6 +111,18 @@ def pattern_scores(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     return scores
 
 
+def occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(pattern, seen): how often each pattern's words stand in all texts, whatever follows."""
+    gap = r"\x20\x09-\x0D"
+    bare = F.regexp_replace(F.lower("text"), rf"(?<![^{gap}])[^\p{{L}}{gap}]++|[^\p{{L}}:=#{gap}]++(?![^{gap}])", "")
+    split = texts(docs).select(F.filter(F.split(bare, f"[{gap}]+"), lambda w: w != "").alias("w"))
+    pairs = F.zip_with("w", F.slice("w", 2, F.size("w")), lambda a, b: F.concat_ws(" ", a, b))
+    said = split.select(F.explode("w").alias("pattern")).union(split.select(F.explode(F.slice(pairs, 1, F.greatest(F.size("w") - 1, F.lit(0))))))
+    if patterns.count() <= BROADCAST_PATTERNS:
+        return said.join(F.broadcast(patterns), "pattern", "left_semi").groupBy("pattern").agg(F.count("*").alias("seen"))
+    return said.groupBy("pattern").agg(F.count("*").alias("seen")).join(patterns, "pattern", "left_semi")
+
+
 def pii_digest(docs: DataFrame) -> DataFrame:
     """doc_id, the count of each kind known by form, base_sha256, spans."""
     rows = texts(docs).select("doc_id", "text", F.xxhash64("text").alias("h"))
@@ -114,6 +130,9 @@ def pii_digest(docs: DataFrame) -> DataFrame:
     based = rows.select("doc_id", "h", "text", *(s.alias(k) for k, s in base_kinds(F.col("text")).items()))
     found = cut(instances(based.select("doc_id", "h", "text", F.concat(*kinds).alias("base"))))
     taken = pattern_scores(found).where((F.col("score") >= TAKE_SCORE) & (F.col("seeds") >= LEAST_SEEDS)).select("pattern")
+    taken = cut(found.join(taken, "pattern", "left_semi").groupBy("pattern").agg(F.count("*").alias("n")))
+    seen = occurrences(docs, taken.select("pattern"))
+    taken = taken.join(seen, "pattern").where(F.col("n") >= LEAST_SHARE * F.col("seen"))
     new = found.where(~F.col("seed") & (F.length(_digits(F.col("found"))) >= 4)).join(taken, "pattern", "left_semi")
     context = new.groupBy("doc_id", "h").agg(F.collect_set(F.struct("start", "end", "found")).alias("context"))
     narrow = based.select(F.col("doc_id").alias("d"), F.col("h").alias("k"), *kinds)
