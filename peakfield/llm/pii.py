@@ -117,7 +117,7 @@ def occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     bare = F.regexp_replace(F.lower("text"), rf"(?<![^{gap}])[^\p{{L}}{gap}]++|[^\p{{L}}:=#{gap}]++(?![^{gap}])", "")
     split = texts(docs).select(F.filter(F.split(bare, f"[{gap}]+"), lambda w: w != "").alias("w"))
     pairs = F.zip_with("w", F.slice("w", 2, F.size("w")), lambda a, b: F.concat_ws(" ", a, b))
-    said = split.select(F.explode("w").alias("pattern")).union(split.select(F.explode(F.slice(pairs, 1, F.greatest(F.size("w") - 1, F.lit(0))))))
+    said = split.select(F.explode(F.concat("w", F.slice(pairs, 1, F.greatest(F.size("w") - 1, F.lit(0))))).alias("pattern"))
     if patterns.count() <= BROADCAST_PATTERNS:
         return said.join(F.broadcast(patterns), "pattern", "left_semi").groupBy("pattern").agg(F.count("*").alias("seen"))
     return said.groupBy("pattern").agg(F.count("*").alias("seen")).join(patterns, "pattern", "left_semi")
