@@ -141,8 +141,10 @@ def _node(s: np.ndarray) -> int:
 
 
 def signed(rows: DataFrame, k: int, threshold: float) -> DataFrame:
-    """(doc_id, node, n, bands): a document's set by its hash and size, and its band hashes."""
+    """(doc_id, node, n, bands): a document's set by its hash and size, and its band hashes. Columns
+    of ``rows`` after the text follow."""
     id_type, width = rows.schema["doc_id"].dataType.simpleString(), band_rows(threshold)
+    others = rows.columns[2:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,9 +154,9 @@ def signed(rows: DataFrame, k: int, threshold: float) -> DataFrame:
             some = [i for i, s in enumerate(sets) if len(s)]
             for i, b in zip(some, bands(superminhash([sets[i] for i in some]), width) if some else ()):
                 found[i] = b
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_node(s) for s in sets], pa.int64()), pa.array(n), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "node", "n", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_node(s) for s in sets], pa.int64()), pa.array(n), pa.array(found, pa.list_(pa.int64())), *batch.columns[2:]], ["doc_id", "node", "n", "bands", *others])
 
-    return rows.mapInArrow(run, f"doc_id {id_type}, node long, n long, bands array<long>")
+    return rows.mapInArrow(run, ", ".join([f"doc_id {id_type}, node long, n long, bands array<long>", *(f"{c} {rows.schema[c].dataType.simpleString()}" for c in others)]))
 
 
 def _sets_of(rows: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -230,11 +232,11 @@ def components(edges: DataFrame) -> DataFrame:
         last = state
 
 
-def near_components(docs: DataFrame, *, k: int = 5, threshold: float = 0.8) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
-    small_batches(docs.sparkSession)
+def _grouped(rows: DataFrame, k: int, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``signed`` of the rows; (node, rep, root) of every node that is not empty; (node, root) of
+    those that are linked."""
+    small_batches(rows.sparkSession)
     per_mille = round(threshold * 1000)
-    rows = texts(docs)
     every = cut(signed(rows, k, threshold))
     reps = cut(every.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")))
     held = reps.select("node", "n", F.explode("bands").alias("band"))
@@ -259,7 +261,12 @@ def near_components(docs: DataFrame, *, k: int = 5, threshold: float = 0.8) -> D
         again = confirmed(rows, more, reps, k).where(linked).select("a", "b")
         if again.head(1):
             roots = components(links.union(again))
-    named = reps.join(roots, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
+    return every, reps.join(roots, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root")), roots
+
+
+def near_components(docs: DataFrame, *, k: int = 5, threshold: float = 0.8) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
+    every, named, roots = _grouped(texts(docs), k, threshold)
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     grouped = named.join(roots.select("root").distinct(), "root", "left_semi").join(least, "root").select("node", "component_id")
     alone = named.join(roots.select("root").distinct(), "root", "left_anti").select("node", F.col("rep").alias("component_id"))
@@ -269,7 +276,20 @@ def near_components(docs: DataFrame, *, k: int = 5, threshold: float = 0.8) -> D
 
 
 def near_dedup(docs: DataFrame, *, k: int = 5, threshold: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` that stay, all columns kept: one document of each group."""
-    gone = cut(near_components(docs, k=k, threshold=threshold).where("not kept").select(F.col("doc_id").alias("gone")).distinct())
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
+    """The rows of ``docs`` that stay, all columns kept: one row of each group. A row is told by its
+    doc_id and its text, as ids may be null or repeat; the least stays, null ids last."""
+    key = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    every, named, _ = _grouped(texts(docs).withColumn("h", F.xxhash64("text")), k, threshold)
+    told = every.where("n > 0").groupBy("node", "doc_id", "h").agg(F.count("*").alias("m"))
+    told = cut(told.join(named.select("node", "root"), "node").select("root", "doc_id", "h", "m"))
+    least = told.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "h")).alias("stays"), F.sum("m").alias("c")).where("c > 1")
+    stays = F.col("doc_id").eqNullSafe(F.col("stays.doc_id")) & (F.col("h") == F.col("stays.h"))
+    judged = cut(told.join(least, "root").where(~stays | (F.col("m") > 1)).select(F.col("doc_id").alias("judged_id"), F.col("h").alias("judged_h"), stays.alias("stays")))
+
+    def met(some: DataFrame, how: str) -> DataFrame:
+        some = F.broadcast(some) if some.count() <= BROADCAST_IDS else some
+        return docs.join(some, docs["doc_id"].eqNullSafe(some["judged_id"]) & (key == some["judged_h"]), how)
+
+    kept = met(judged.drop("stays"), "left_anti")
+    repeated = judged.where("stays").drop("stays")  # one of the equal rows
+    return kept.union(met(repeated, "left_semi").withColumn("judged_h", key).dropDuplicates(["doc_id", "judged_h"]).drop("judged_h")) if repeated.head(1) else kept

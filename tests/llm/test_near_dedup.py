@@ -70,6 +70,14 @@ def test_near_dedup_keeps_columns(spark):
     assert out.columns == docs.columns and {r.doc_id for r in out.collect()} == want
 
 
+def test_near_dedup_tells_rows_by_id_and_text(spark):
+    a, b, c, d, e = (prose(700 + i, 90) for i in range(5))
+    docs = [(1, a), (None, a + " more"), (None, b), (None, None), (None, ""), (None, c), (None, c + " more"), (2, d), (2, a + " tail"), (None, e), (None, e), (3, b + " x"), (3, prose(710, 40))]
+    got = Counter((r.doc_id, r.text) for r in near_dedup(frame(spark, docs).repartition(3), k=5, threshold=0.8).collect())
+    assert got.pop((None, c), 0) + got.pop((None, c + " more"), 0) == 1
+    assert got == Counter([(1, a), (None, None), (None, ""), (2, d), (None, e), (3, b + " x"), (3, prose(710, 40))])
+
+
 def test_signature():
     r = np.random.default_rng(1)
     x = np.sort(r.integers(0, 1 << 63, 900).astype(np.uint64))
