@@ -3,8 +3,8 @@
 Bytes (A-Z in lower case) become symbols of a fixed alphabet: the 62 most frequent byte values of
 the training texts, the end of a text, and one symbol for any other byte, which then costs a
 uniform choice among those. A trie of contexts of up to five symbols holds the counts of all
-training texts. Levels up to three symbols are plain arrays; the contexts of four and five share
-2**18 and 2**20 rows by hash, so that the model has a proven size whatever the corpus. A context
+training texts, each context by itself: it grows with the corpus, in parts by a context's last two
+symbols, as sorted files of the shared folder that the workers map. A context
 escapes by method D (half the distinct symbols of the total) to the next shorter one, whose seen
 symbols are excluded and the rest scaled up. The pretrained code length of a text is the sum over
 its bytes and its end.
@@ -19,10 +19,12 @@ model uniform; an empty table gives an empty result; other columns are never rea
 from __future__ import annotations
 
 import math
+import os
 import uuid
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from urllib.parse import unquote, urlsplit
 
 import numpy as np
 import pandas as pd
@@ -32,16 +34,14 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut, small_batches, texts
+from ._common import cut, shared_dir, small_batches, texts
 
-SYMBOLS, ORDER = 64, 5
+SYMBOLS, ORDER, BITS = 64, 5, 9
 OTHER = SYMBOLS - 1
-#: Bits of the rows of each level kept: whole for three symbols, hashed for four and five.
-ROW_BITS = {3: 18, 4: 18, 5: 20}
-#: How a level's counts are held: as they are, or as the nearest power of 2**(1/8) in a byte.
-HELD_AS = {3: np.float32, 4: np.uint8, 5: np.uint8}
-POWERS = np.r_[0, 2 ** (np.arange(255) / 8)].astype(np.float32)
-BLOCK_ROWS = 1 << 12
+#: Contexts up to this length are held whole; the longer ones lie in parts by their last symbols.
+TOP = 2
+#: Bytes of training text that one part of the trie is made for, and leaves that a task holds.
+PART_BYTES, TASK_LEAVES = 64 << 20, 1 << 22
 #: Bytes of text that are turned into arrays at once.
 CHUNK = 1 << 19
 DISCOUNT = 0.5
@@ -78,7 +78,7 @@ def positions(data: list[bytes], code: np.ndarray) -> tuple[np.ndarray, np.ndarr
     s[ends - 1] = 0
     before = np.zeros(len(s), np.int64)
     for k in range(ORDER, 0, -1):
-        before[k:] += s[:-k] << (6 * (k - 1))
+        before[k:] += s[:-k] << (BITS * (k - 1))
     return np.repeat(np.arange(len(data)), sizes - ORDER), before[own], s[own]
 
 
@@ -92,12 +92,16 @@ def pieces(data: list[bytes]) -> Iterator[tuple[int, int]]:
             lo, size = i + 1, 0
 
 
-def row_of(before: np.ndarray, order: int) -> np.ndarray:
-    """The row of a context's last ``order`` symbols."""
-    context, bits = before & (SYMBOLS**order - 1), ROW_BITS[order]
-    if 6 * order <= bits:
-        return context
-    return ((context.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+def cut_to(leaf: np.ndarray, order: int) -> np.ndarray:
+    """A leaf (context << BITS | symbol) with the last ``order`` symbols of its context."""
+    return leaf & ((1 << BITS * (order + 1)) - 1)
+
+
+def part_of(leaf: np.ndarray, parts: int) -> np.ndarray:
+    """The part of a leaf: by the last TOP symbols of its context, so that a part holds all that
+    extends these."""
+    last = (cut_to(leaf, TOP) >> BITS).astype(np.uint64)
+    return ((last * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
 
 
 def blend(counts: np.ndarray, below: np.ndarray) -> np.ndarray:
@@ -108,61 +112,99 @@ def blend(counts: np.ndarray, below: np.ndarray) -> np.ndarray:
     return np.where(seen, (counts - DISCOUNT) / np.maximum(total, 1), escape * below / rest)
 
 
-def table_of_three(counts: np.ndarray) -> np.ndarray:
-    """P(symbol | three before) of all contexts, blended from the counts of 0 to 3 symbols. It
-    takes the counts' own place."""
-    levels = [counts]
-    for _ in range(3):  # the counts of a shorter context: summed over its extensions
-        levels.append(levels[-1].reshape(SYMBOLS, -1, SYMBOLS).sum(0, dtype=np.float64))
-    p = np.full((1, SYMBOLS), 1 / SYMBOLS)
-    for level in levels[:0:-1]:
-        p = blend(level, p[np.arange(len(level)) % len(p)])
-    for lo in range(0, len(counts), BLOCK_ROWS):
-        counts[lo : lo + BLOCK_ROWS] = blend(counts[lo : lo + BLOCK_ROWS], p[np.arange(lo, lo + BLOCK_ROWS) % len(p)])
-    return counts
+def find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each one's place in the sorted keys, and whether it is there."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
+#: Of a level: leaves and the P of each in its context; contexts, and what each multiplies the P of
+#: the shorter one by for symbols that it has not seen.
+Level = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def levels(leaf: np.ndarray, n: np.ndarray, orders: range) -> dict[int, Level]:
+    """The levels of ``orders`` from the counts of their longest contexts. What a context has seen
+    every shorter one has seen too, so that exclusion needs no more than the level below."""
+    out: dict[int, Level] = {}
+    for k in range(orders[0] - 1, orders[-1] + 1):
+        keys, counts = _summed(cut_to(leaf, k), n) if k >= 0 else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        first = np.flatnonzero(np.r_[True, keys[1:] >> BITS != keys[:-1] >> BITS]) if len(keys) else np.zeros(0, np.int64)
+        kinds = np.diff(np.r_[first, len(keys)])
+        total = np.add.reduceat(counts, first).astype(float) if len(keys) else np.zeros(0)
+        p = (counts - DISCOUNT) / np.repeat(total, kinds)
+        if k >= orders[0] and len(keys):
+            below = last[1][np.searchsorted(last[0], cut_to(keys, k - 1))] if k else np.full(len(keys), 1 / SYMBOLS)
+            rest = np.maximum(1 - np.add.reduceat(below, first), 1e-9)
+            out[k] = keys, p.astype(np.float32), keys[first] >> BITS, (DISCOUNT * kinds / total / rest).astype(np.float32)
+        elif k >= orders[0]:
+            out[k] = keys, p.astype(np.float32), keys, p.astype(np.float32)
+        last = keys, p
+    return out
 
 
 class Trie:
-    """The trained model, as a worker holds it."""
-
-    def __init__(self, code: np.ndarray, blocks: list[tuple[int, int, bytes]]) -> None:
-        self.code, levels = code, {k: np.zeros((1 << b, SYMBOLS), HELD_AS[k]) for k, b in ROW_BITS.items()}
-        for level, block, packed in blocks:
-            rows = np.frombuffer(zlib.decompress(packed), HELD_AS[level]).reshape(-1, SYMBOLS)
-            levels[level][block * BLOCK_ROWS : block * BLOCK_ROWS + len(rows)] = rows
-        self.three, self.four, self.five = table_of_three(levels[3]), levels[4], levels[5]
-        self.total = np.concatenate([POWERS[self.five[i : i + BLOCK_ROWS]].sum(1) for i in range(0, len(self.five), BLOCK_ROWS)])
-        self.kinds = np.count_nonzero(self.five, 1).astype(np.uint8)
+    """The trained model, as a worker holds it: contexts up to TOP symbols, and the parts of the
+    longer ones, from ``blocks`` or mapped from the files of ``folder``."""
+
+    def __init__(self, code: np.ndarray, blocks: list[tuple[int, int, bytes]], folder: str | None = None, parts: int | None = None) -> None:
+        top = [_unpack(x) for level, _, x in blocks if level == TOP]
+        self.code, self.folder = code, folder
+        self.parts = {block: levels(*_unpack(x), range(TOP + 1, ORDER + 1)) for level, block, x in blocks if level == ORDER}
+        self.n_parts = parts or 1 + max((block for _, block, _ in blocks), default=0)
+        self.top = levels(*_summed(*(np.concatenate([t[i] for t in top]) for i in (0, 1))), range(TOP + 1)) if top else {}
         self.other = -math.log10(max(1, int((code == OTHER).sum())))
 
+    def part(self, i: int) -> dict[int, Level]:
+        if i not in self.parts:
+            names = {k: [f"{self.folder}/{i}-{k}-{j}.npy" for j in range(4)] for k in range(TOP + 1, ORDER + 1)}
+            there = self.folder is not None and os.path.exists(f"{self.folder}/{i}-{ORDER}-3.npy")
+            self.parts[i] = {k: tuple(np.load(x, mmap_mode="r") for x in files) for k, files in names.items()} if there else {}
+        return self.parts[i]
+
     def log10(self, data: list[bytes]) -> np.ndarray:
         """log10 P of each text and its end."""
         out = np.zeros(len(data))
         for lo, hi in pieces(data):
             text, before, s = positions(data[lo:hi], self.code)
-            row = row_of(before, 5)
-            c, total = POWERS[self.five[row, s]], self.total[row]
-            p = (c - DISCOUNT) / np.maximum(total, 1)
-            missed = np.flatnonzero(c == 0)
-            _, first, again = np.unique(before[missed] << 6 | s[missed], return_index=True, return_inverse=True)
-            p[missed] = self._escaped(before[missed[first]], s[missed[first]])[again]
-            bits = np.log10(np.maximum(p, 1e-30)) + (s == OTHER) * self.other
+            leaf, again = np.unique(before << BITS | s, return_inverse=True)
+            bits = np.log10(np.maximum(self.probabilities(leaf), 1e-30))[again] + (s == OTHER) * self.other
             out[lo:hi] = np.bincount(text, bits, hi - lo)
         return out
 
-    def _escaped(self, before: np.ndarray, s: np.ndarray) -> np.ndarray:
-        """P of symbols that their five-symbol context has not seen."""
-        out = np.empty(len(s), np.float32)
-        for lo in range(0, len(s), 4096):
-            b, x = before[lo : lo + 4096], s[lo : lo + 4096]
-            row = row_of(b, 5)
-            four = blend(POWERS[self.four[row_of(b, 4)]], self.three[row_of(b, 3)])
-            rest = np.maximum(1 - np.where(self.five[row] > 0, four, 0).sum(1), 1e-9)
-            total = self.total[row]
-            escape = np.where(total > 0, DISCOUNT * self.kinds[row] / np.maximum(total, 1), 1)
-            out[lo : lo + 4096] = escape * four[np.arange(len(x)), x] / rest
+    def probabilities(self, leaf: np.ndarray) -> np.ndarray:
+        """P of each leaf's symbol after its context."""
+        out, where = np.empty(len(leaf)), part_of(leaf, self.n_parts)
+        order = np.argsort(where, kind="stable")
+        for own in np.split(order, np.flatnonzero(np.diff(where[order])) + 1):
+            if not len(own):
+                continue
+            part = self.part(int(where[own[0]]))
+            p, open_ = np.ones(len(own)), np.arange(len(own))
+            for k in range(ORDER, -1, -1):
+                level = (self.top if k <= TOP else part).get(k)
+                if level is None:
+                    continue
+                wanted = cut_to(leaf[own[open_]], k)
+                at, seen = find(level[0], wanted)
+                p[open_[seen]] *= level[1][at[seen]]
+                open_, wanted = open_[~seen], wanted[~seen]
+                at, seen = find(level[2], wanted >> BITS)
+                p[open_[seen]] *= level[3][at[seen]]
+            p[open_] /= SYMBOLS
+            out[own] = p
         return out
 
+    @property
+    def three(self) -> np.ndarray:
+        """P of every symbol after each context of three that was seen."""
+        seen = np.unique(np.concatenate([np.zeros(0, np.int64), *(x[3][2] for x in map(self.part, range(self.n_parts)) if 3 in x)]))
+        # No longer context starts with a symbol beyond the alphabet.
+        unseen = np.int64(((1 << BITS) - 1 << BITS) | (1 << BITS) - 1) << BITS * 3
+        return self.probabilities(((unseen | seen)[:, None] << BITS | np.arange(SYMBOLS)).reshape(-1)).reshape(-1, SYMBOLS)
+
 
 class AdaptivePPM:
     """The same escapes and exclusions over raw bytes, learnt from what it has read so far."""
@@ -247,48 +289,79 @@ def _summed(leaf: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray,
     return leaf[first], np.diff(np.r_[first, len(leaf)]) if n is None else np.add.reduceat(n, first) if len(n) else n
 
 
-def trie_blocks(training: DataFrame, code: np.ndarray) -> DataFrame:
-    """(level, block, packed): the trie's counts over all training texts, BLOCK_ROWS contexts of
-    a level at a time, packed; all of them together have the size that ROW_BITS sets. A task sums
-    what it read before it sends one packed list a block."""
-    leaves = BLOCK_ROWS * SYMBOLS
+def _pack(leaf: np.ndarray, n: np.ndarray) -> bytes:
+    return zlib.compress(np.diff(leaf, prepend=0).astype("<i8").tobytes() + n.astype("<i8").tobytes(), 1)
+
+
+def _unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(zlib.decompress(packed), "<i8")
+    return np.cumsum(raw[: len(raw) // 2]), raw[len(raw) // 2 :]
+
+
+def trie_blocks(training: DataFrame, code: np.ndarray, parts: int = 1) -> DataFrame:
+    """(level, block, packed): the counts of all contexts of ORDER symbols in the training texts, by
+    parts, and for each part those of TOP symbols. Shorter contexts' are their sums. A task sums
+    what it read before it sends one packed list a part."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {k: [] for k in ROW_BITS}
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            return _summed(np.concatenate([a for a, _ in held]), np.concatenate([n for _, n in held]))
 
-        def merged(k: int) -> tuple[np.ndarray, np.ndarray]:
-            return _summed(np.concatenate([a for a, _ in held[k]]), np.concatenate([n for _, n in held[k]]))
+        def sent(leaf: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            where = part_of(leaf, parts)
+            order = np.argsort(where, kind="stable")
+            edges = np.flatnonzero(np.diff(where[order], prepend=-1))
+            packed = [_pack(leaf[x], n[x]) for x in np.split(order, edges[1:])] if len(edges) else []
+            return pa.RecordBatch.from_arrays([pa.array(where[order][edges]), pa.array(packed, pa.binary())], ["block", "packed"])
 
         for batch in batches:
             data = [t.encode().lower() for t in batch.column(0).to_pylist()]
             for lo, hi in pieces(data):
                 _, before, s = positions(data[lo:hi], code)
-                for k in ROW_BITS:
-                    held[k].append(_summed((row_of(before, k) * SYMBOLS + s).astype(np.uint32)))
-                    if len(held[k]) >= 8:
-                        held[k] = [merged(k)]
-        for k in ROW_BITS:
-            if held[k]:
-                leaf, n = merged(k)
-                edges = np.flatnonzero(np.diff(leaf // leaves, prepend=-1))
-                blocks = list(zip(edges, np.r_[edges[1:], len(leaf)]))
-                packed = [zlib.compress((leaf[i:j] % leaves).astype("<u4").tobytes() + n[i:j].astype("<i8").tobytes(), 1) for i, j in blocks]
-                yield pa.RecordBatch.from_arrays([pa.array([k] * len(blocks), pa.int64()), pa.array((leaf[edges] // leaves).astype(np.int64)), pa.array(packed, pa.binary())], ["level", "block", "packed"])
+                held.append(_summed(before << BITS | s))
+                if len(held) >= 16:
+                    held = [merged()]
+                    if len(held[0][0]) > TASK_LEAVES:
+                        yield sent(*held.pop())
+        if held:
+            yield sent(*merged())
 
     def build(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(leaves)
+        held = [_unpack(x) for batch in batches for x in batch.column("packed").to_pylist()]
+        leaf, n = _summed(np.concatenate([a for a, _ in held]), np.concatenate([n for _, n in held]))
+        packed = [_pack(*_summed(cut_to(leaf, TOP), n)), _pack(leaf, n)]
+        yield pa.RecordBatch.from_arrays([pa.array([TOP, ORDER]), pa.array([key[0].as_py()] * 2), pa.array(packed, pa.binary())], ["level", "block", "packed"])
+
+    counted = training.select("text").mapInArrow(count, "block long, packed binary")
+    return counted.groupBy("block").applyInArrow(build, "level long, block long, packed binary")
+
+
+def store(blocks: DataFrame, folder: str) -> None:
+    """Write the levels of each part to files of the shared folder, for the workers to map."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.makedirs(folder, exist_ok=True)
         for batch in batches:
-            for packed in batch.column("packed").to_pylist():
-                raw = zlib.decompress(packed)
-                m = len(raw) // 12
-                counts[np.frombuffer(raw, "<u4", m)] += np.frombuffer(raw, "<i8", m, 4 * m)
-        level, block = (int(k.as_py()) for k in key)
-        if HELD_AS[level] is np.uint8:
-            counts = np.where(counts > 0, np.minimum(255, 1 + np.rint(8 * np.log2(np.maximum(counts, 1)))), 0)
-        yield pa.RecordBatch.from_arrays([pa.array([level]), pa.array([block]), pa.array([zlib.compress(counts.astype(HELD_AS[level]).tobytes(), 1)], pa.binary())], ["level", "block", "packed"])
+            for block, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for k, level in levels(*_unpack(packed), range(TOP + 1, ORDER + 1)).items():
+                    for j, x in enumerate(level):
+                        name = f"{folder}/{block}-{k}-{j}"
+                        with open(mine := f"{name}.{uuid.uuid4().hex}", "wb") as f:
+                            np.save(f, x)
+                        os.replace(mine, f"{name}.npy")  # a task that runs twice writes the same
+            yield batch.select(["block"])
+
+    blocks.where(F.col("level") == ORDER).select("block", "packed").mapInArrow(write, "block long").count()
+
 
-    counted = training.select("text").mapInArrow(count, "level long, block long, packed binary")
-    return counted.groupBy("level", "block").applyInArrow(build, "level long, block long, packed binary")
+def _local(folder: str) -> str:
+    """The shared folder as a path, which every executor must have mounted."""
+    url = urlsplit(folder)
+    if url.scheme not in ("", "file"):
+        raise ValueError(f"the trie's files need a mounted shared folder, not {folder}")
+    return unquote(url.path) if url.scheme else folder
 
 
 _TRIES: dict[str, Trie] = {}
@@ -310,9 +383,13 @@ def score_digest(docs: DataFrame, *, mod: int = 7, held: int = 2) -> DataFrame:
     training = _training(rows, mod, held)
     tokens = cut(token_counts(training).select(F.xxhash64(F.col("token")).alias("t"), "token", "c"))
     n, v = tokens.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    code, name = alphabet(byte_counts(training)), uuid.uuid4().hex
-    blocks = [(r["level"], r["block"], bytes(r["packed"])) for r in trie_blocks(training, code).collect()]
-    model = docs.sparkSession.sparkContext.broadcast((code, blocks))
+    sizes, name = byte_counts(training), uuid.uuid4().hex
+    code = alphabet(sizes)
+    parts = max(1, math.ceil(sum(sizes.values()) / PART_BYTES))
+    blocks, folder = cut(trie_blocks(training, code, parts)), f"{_local(shared_dir(docs.sparkSession))}/trie-{name}"
+    store(blocks, folder)
+    top = [(r["level"], r["block"], bytes(r["packed"])) for r in blocks.where(F.col("level") == TOP).collect()]
+    model = docs.sparkSession.sparkContext.broadcast((code, top, folder, parts))
     id_type = rows.schema["doc_id"].dataType.simpleString()
     small = v * 16 <= TOKEN_TABLE_BYTES
     if small:

@@ -36,6 +36,33 @@ def test_trie(spark):
     assert np.allclose(trie.three.sum(1), 1, atol=1e-4)
 
 
+@pytest.mark.parametrize("parts", [1, 5])
+def test_contexts_are_never_shared(spark, parts):
+    r = random.Random(6)  # far more contexts of four and five than 2**18 rows
+    data = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(2000)) for _ in range(400)]
+    texts = spark.createDataFrame([(t,) for t in data], "text string").repartition(3)
+    code = alphabet(byte_counts(texts))
+    trie = Trie(code, [(x.level, x.block, bytes(x.packed)) for x in trie_blocks(texts, code, parts).collect()])
+    seen = Counter(d[i : i + 6] for d in data for i in range(len(d) - 5))
+    total = Counter(d[i : i + 5] for d in data for i in range(len(d) - 4))
+    for c in [data[0][i : i + 6] for i in range(300)]:  # what a context has seen costs its own counts alone
+        leaf = 0
+        for b in c.encode():
+            leaf = leaf << lm.BITS | int(code[b])
+        assert math.isclose(trie.probabilities(np.array([leaf]))[0], (seen[c] - 0.5) / total[c[:5]], rel_tol=1e-5)
+
+
+def test_stored_parts_score_as_held_ones(spark, monkeypatch):
+    docs = [(i, prose(i, 40)) for i in range(40)]
+    want = {r.doc_id: r.score for r in score_digest(frame(spark, docs)).collect()}
+    monkeypatch.setattr(lm, "PART_BYTES", 1000)
+    got = {r.doc_id: r.score for r in score_digest(frame(spark, docs)).collect()}
+    texts = spark.createDataFrame([(t,) for i, t in docs if not lm.is_held_out(i)], "text string")
+    trie = Trie(code := alphabet(byte_counts(texts)), [(x.level, x.block, bytes(x.packed)) for x in trie_blocks(texts, code).collect()])
+    held = dict(zip(want, trie.log10([dict(docs)[i].encode().lower() for i in want])))
+    assert want == pytest.approx(got) and want == pytest.approx(held)
+
+
 @pytest.mark.parametrize("limit", [lm.TOKEN_TABLE_BYTES, -1])
 def test_base(spark, monkeypatch, limit):
     monkeypatch.setattr(lm, "TOKEN_TABLE_BYTES", limit)
