@@ -1,13 +1,11 @@
 """Language-model scoring by prediction by partial matching (PPM) over bytes.
 
-Bytes (A-Z in lower case) become symbols of a fixed alphabet: the 62 most frequent byte values of
-the training texts, the end of a text, and one symbol for any other byte, which then costs a
-uniform choice among those. A trie of contexts of up to five symbols holds the counts of all
-training texts, each context by itself: it grows with the corpus, in parts by a context's last two
-symbols, as sorted files of the shared folder that the workers map. A context
-escapes by method D (half the distinct symbols of the total) to the next shorter one, whose seen
-symbols are excluded and the rest scaled up. The pretrained code length of a text is the sum over
-its bytes and its end.
+The symbols are all 256 bytes (A-Z in lower case) and the end of a text. A trie of contexts of up
+to five symbols holds the counts of all training texts, each context by itself: it grows with the
+corpus, in parts by a context's last two symbols, as sorted files of the shared folder that the
+workers map. A context escapes by method D (half the distinct symbols of the total) to the next
+shorter one, whose seen symbols are excluded and the rest scaled up. The pretrained code length of
+a text is the sum over its bytes and its end.
 
 ``adaptive_bits`` is the same model learnt while it reads one text, without training.
 
@@ -36,8 +34,10 @@ from pyspark.sql import functions as F
 
 from ._common import cut, shared_dir, small_batches, texts
 
-SYMBOLS, ORDER, BITS = 64, 5, 9
-OTHER = SYMBOLS - 1
+#: The end of a text and 256 bytes.
+SYMBOLS, ORDER, BITS = 257, 5, 9
+#: The symbol of bytes outside the alphabet, of which there are none.
+OTHER = -1
 #: Contexts up to this length are held whole; the longer ones lie in parts by their last symbols.
 TOP = 2
 #: Bytes of training text that one part of the trie is made for, and leaves that a task holds.
@@ -55,12 +55,9 @@ def is_held_out(doc_id: object, mod: int = 7, held: int = 2) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % mod == held
 
 
-def alphabet(counts: dict[int, int]) -> np.ndarray:
-    """Each byte's symbol, from 1, by falling count; OTHER for the rest. 0 ends a text."""
-    code = np.full(256, OTHER, np.uint8)
-    for n, b in enumerate(sorted(counts, key=lambda b: (-counts[b], b))[: SYMBOLS - 2], 1):
-        code[b] = n
-    return code
+def alphabet(counts: dict[int, int] | None = None) -> np.ndarray:
+    """Each byte's symbol, from 1, whatever its count. 0 ends a text."""
+    return np.arange(1, SYMBOLS, dtype=np.uint16)
 
 
 def positions(data: list[bytes], code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -155,7 +152,7 @@ class Trie:
         self.parts = {block: levels(*_unpack(x), range(TOP + 1, ORDER + 1)) for level, block, x in blocks if level == ORDER}
         self.n_parts = parts or 1 + max((block for _, block, _ in blocks), default=0)
         self.top = levels(*_summed(*(np.concatenate([t[i] for t in top]) for i in (0, 1))), range(TOP + 1)) if top else {}
-        self.other = -math.log10(max(1, int((code == OTHER).sum())))
+        self.other = 0.0
 
     def part(self, i: int) -> dict[int, Level]:
         if i not in self.parts:
@@ -170,7 +167,7 @@ class Trie:
         for lo, hi in pieces(data):
             text, before, s = positions(data[lo:hi], self.code)
             leaf, again = np.unique(before << BITS | s, return_inverse=True)
-            bits = np.log10(np.maximum(self.probabilities(leaf), 1e-30))[again] + (s == OTHER) * self.other
+            bits = np.log10(np.maximum(self.probabilities(leaf), 1e-30))[again]
             out[lo:hi] = np.bincount(text, bits, hi - lo)
         return out
 
@@ -383,9 +380,9 @@ def score_digest(docs: DataFrame, *, mod: int = 7, held: int = 2) -> DataFrame:
     training = _training(rows, mod, held)
     tokens = cut(token_counts(training).select(F.xxhash64(F.col("token")).alias("t"), "token", "c"))
     n, v = tokens.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    sizes, name = byte_counts(training), uuid.uuid4().hex
-    code = alphabet(sizes)
-    parts = max(1, math.ceil(sum(sizes.values()) / PART_BYTES))
+    size, name = training.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0], uuid.uuid4().hex
+    code = alphabet()
+    parts = max(1, math.ceil(size / PART_BYTES))
     blocks, folder = cut(trie_blocks(training, code, parts)), f"{_local(shared_dir(docs.sparkSession))}/trie-{name}"
     store(blocks, folder)
     top = [(r["level"], r["block"], bytes(r["packed"])) for r in blocks.where(F.col("level") == TOP).collect()]

@@ -52,6 +52,18 @@ def test_contexts_are_never_shared(spark, parts):
         assert math.isclose(trie.probabilities(np.array([leaf]))[0], (seen[c] - 0.5) / total[c[:5]], rel_tol=1e-5)
 
 
+def test_every_byte_is_modelled(spark):
+    r = random.Random(9)
+    common = ["".join(map(chr, r.sample(range(33, 123), 80))) + "éüñ" for _ in range(60)]
+    rare = "Привет мир как дела "
+    texts = spark.createDataFrame([(t,) for t in [*common, rare]], "text string")
+    trie = Trie(code := alphabet(byte_counts(texts)), [(x.level, x.block, bytes(x.packed)) for x in trie_blocks(texts, code).collect()])
+    data = rare.encode().lower()
+    assert len(set(code.tolist())) == 256 and 0 not in code
+    known, shuffled = trie.log10([data, bytes(r.sample(data, len(data)))])
+    assert known > 0.5 * shuffled and -known / math.log10(2) < 3 * len(data)  # bits a byte
+
+
 def test_stored_parts_score_as_held_ones(spark, monkeypatch):
     docs = [(i, prose(i, 40)) for i in range(40)]
     want = {r.doc_id: r.score for r in score_digest(frame(spark, docs)).collect()}
