@@ -5,7 +5,8 @@ the one or two words before them. Patterns and the identifier-like words that fo
 bipartite graph, over all documents. Spark scores it in rounds: a pattern by the mean score of its
 instances, a word by its best patterns. A pattern of high score counts only if identifiers follow
 most of its occurrences anywhere, as any common word stands before some. Words after the patterns
-left that no form covers become spans of kind ``context``.
+left that no form covers become spans of kind ``context``, and seeds of the next generation of
+patterns, until it takes none.
 
 Defined results: a null text counts as empty and has no spans; repeated rows get equal results and
 count once each as evidence; a null doc_id is joined like any other; an empty table gives an empty
@@ -95,9 +96,13 @@ def instances(based: DataFrame) -> DataFrame:
     return rows.select("doc_id", "h", "start", "end", "found", "seed", F.explode(F.filter(both, lambda p: p.rlike("\\p{L}{2,}"))).alias("pattern"))
 
 
-def pattern_scores(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def graph(found: DataFrame) -> DataFrame:
+    """(pattern, found, seed): the edges between patterns and words."""
+    return cut(found.groupBy("pattern", "found").agg(F.max(F.col("seed").cast("int")).alias("seed")))
+
+
+def pattern_scores(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(pattern, score, seeds) after rounds over the graph of patterns and words."""
-    edges = cut(found.groupBy("pattern", "found").agg(F.count("*").alias("n"), F.max(F.col("seed").cast("int")).alias("seed")))
     known = edges.groupBy("found").agg(F.max("seed").alias("seed"))
     scores = None
     for _ in range(rounds):
@@ -123,17 +128,35 @@ def occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     return said.groupBy("pattern").agg(F.count("*").alias("seen")).join(patterns, "pattern", "left_semi")
 
 
+def taken_patterns(docs: DataFrame, found: DataFrame, new: DataFrame) -> DataFrame:
+    """(pattern): those that count, until no more do. The words of ``new`` after patterns that were
+    taken are seeds of the next generation; each pattern's occurrences are counted once."""
+    edges, judged = graph(found), None
+    while True:
+        good = pattern_scores(edges).where((F.col("score") >= TAKE_SCORE) & (F.col("seeds") >= LEAST_SEEDS)).select("pattern")
+        good = good if judged is None else good.join(judged, "pattern", "left_anti")
+        good = cut(found.join(good, "pattern", "left_semi").groupBy("pattern").agg(F.count("*").alias("n")))
+        if judged is not None and not good.head(1):
+            break
+        seen = occurrences(docs, good.select("pattern"))
+        now = cut(good.join(seen, "pattern").select("pattern", (F.col("n") >= LEAST_SHARE * F.col("seen")).alias("takes")))
+        judged = now if judged is None else cut(judged.union(now))
+        taken = now.where("takes")
+        if not taken.head(1):
+            break
+        words = new.join(taken, "pattern", "left_semi").select("found").distinct().withColumn("more", F.lit(1))
+        edges = cut(edges.join(words, "found", "left").select("pattern", "found", F.greatest("seed", F.coalesce("more", F.lit(0))).alias("seed")))
+    return judged.where("takes").select("pattern")
+
+
 def pii_digest(docs: DataFrame) -> DataFrame:
     """doc_id, the count of each kind known by form, base_sha256, spans."""
     rows = texts(docs).select("doc_id", "text", F.xxhash64("text").alias("h"))
     kinds = list(base_kinds(F.col("text")))
     based = rows.select("doc_id", "h", "text", *(s.alias(k) for k, s in base_kinds(F.col("text")).items()))
     found = cut(instances(based.select("doc_id", "h", "text", F.concat(*kinds).alias("base"))))
-    taken = pattern_scores(found).where((F.col("score") >= TAKE_SCORE) & (F.col("seeds") >= LEAST_SEEDS)).select("pattern")
-    taken = cut(found.join(taken, "pattern", "left_semi").groupBy("pattern").agg(F.count("*").alias("n")))
-    seen = occurrences(docs, taken.select("pattern"))
-    taken = taken.join(seen, "pattern").where(F.col("n") >= LEAST_SHARE * F.col("seen"))
-    new = found.where(~F.col("seed") & (F.length(_digits(F.col("found"))) >= 4)).join(taken, "pattern", "left_semi")
+    new = found.where(~F.col("seed") & (F.length(_digits(F.col("found"))) >= 4))
+    new = new.join(taken_patterns(docs, found, new), "pattern", "left_semi")
     context = new.groupBy("doc_id", "h").agg(F.collect_set(F.struct("start", "end", "found")).alias("context"))
     narrow = based.select(F.col("doc_id").alias("d"), F.col("h").alias("k"), *kinds)
     both = narrow.join(context, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("k") == F.col("h")), "left")

@@ -62,5 +62,16 @@ def test_contexts(spark):
     assert all(got[60 + i] == "" for i in range(8))
 
 
+def test_contexts_of_discovered_identifiers(spark):
+    known = [(i, prose(i, 20) + f" write to me via user{i}@mail.org then " + prose(i + 1, 9)) for i in range(40)]
+    first = [(100 + i, prose(i, 20) + f" write to me via EMP-{10000 + i} then " + prose(i + 1, 9)) for i in range(8)]
+    second = [(200 + i, prose(i, 20) + f" employee badge EMP-{10000 + i} then " + prose(i + 1, 9)) for i in range(8)]
+    common = [(300 + i, prose(i, 20) + f" about EMP-{10000 + i} then " + prose(i + 1, 9)) for i in range(8)] + [(320 + i, "about nothing then") for i in range(20)]
+    docs = [*known, *first, *second, *common, (400, "an employee badge EMP-77777 here"), (401, "about EMP-88888 here")]
+    got = {r.doc_id: r.spans for r in pii_digest(frame(spark, docs)).collect()}
+    assert all(got[i].startswith("context:") for i, _ in [*first, *second])
+    assert got[400] == "context:18:27" and got[401] == ""
+
+
 def test_empty(empty):
     assert pii_digest(empty).count() == 0
