@@ -1,48 +1,64 @@
 """Toxicity by lexicon induction.
 
-Seed terms come from the labelled training rows: the words whose documents are marked toxic most
-surely, and frequent words that are not. A graph joins words by positive pointwise mutual
-information of their presence in the same stretch of text, counted over all documents. Random
-walks with restart from either seed set give each word a polarity, so that words which the labels
-alone leave in doubt join the lexicon. A document's score is a logistic function, fitted on a
-bounded sample of the training rows, of the weights of the lexicon words it holds.
+Terms are words and stems (the first three to eight characters that several words share), as
+inflected words are each rare. Labels choose the seeds alone: the terms whose training texts are
+marked toxic more surely than chance would have it among all terms tried. A graph joins seeds and
+frequent words by positive pointwise mutual information of their presence in the same stretch of
+text, counted over all documents. Its communities (languages or subjects, as the words show them,
+whatever ``lang`` says) each have their own toxic and clean seeds, and random walks with restart
+from either give each term a polarity; so a term of a small community is judged against its own
+kind. Terms of high polarity mark stretches, and a last step of the walk goes from these to every
+word of the corpus: a word, known to the labels or not, joins the lexicon if it surely stands in
+marked stretches more often than not, in differing surroundings.
+
+A document's score is a logistic function, fitted on a bounded sample of the training rows, of how
+much likelier its weighted lexicon words are at the rate of toxic than of other training texts.
 
 Words are lower-cased (A-Z) and lose punctuation at their ends. Labels are learnt from once per
-distinct text (rows that repeat a doc_id: as often), and a word's evidence is at most the distinct
-words before it, so that a group of copies or near copies counts as one.
+distinct text (rows that repeat a doc_id: as often), and a term's evidence is at most the distinct
+pairs of words around it, so that a group of copies or near copies counts as one.
 
-Defined results: a null or empty text gets the score of a text without lexicon words; a doc_id
-with several labels counts as toxic if most of them are; without labels every score is 0; repeated
-rows are scored each; an empty table gives an empty result; columns other than text are not read.
+Defined results: a null or empty text gets the score of a text without words; a doc_id with several
+labels counts as toxic if most of them are; without labels every score is 0; repeated rows are
+scored each; very long texts are read whole, in stretches; ties between terms fall to the one that
+sorts first; an empty table gives an empty result; columns other than text are not read.
 """
 
 from __future__ import annotations
 
+import bisect
+import math
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import cut, small_batches, texts
 
-#: Seeds of each kind, and words of the graph: by toxic evidence and by frequency.
-TOXIC_SEEDS, CLEAN_SEEDS, EVIDENT, FREQUENT = 8, 100, 256, 768
 #: Words of a stretch of text, chance to go on walking, and rounds of a walk.
 STRETCH, WALK_ON, ROUNDS = 200, 0.85, 60
-#: Words whose evidence is looked at closely, each word's strongest neighbours kept, and the
-#: log-likelihood ratio from which a word may be toxic.
-CLOSE, NEIGHBOURS, LEAST_GAIN = 4000, 25, 10.0
-#: Polarity from which a word belongs to the lexicon, and documents it must be in.
-LEXICON, LEAST_DOCS = 0.85, 3
+#: Characters of stems, and the share of a stem that one longer term may make up.
+STEMS, BRANCHES = range(3, 9), 0.8
+#: Times its share among all training texts that toxic ones must have of a seed's texts; the share
+#: of toxic training texts that hold a seed; that of training texts that hold a frequent word.
+LIFT, SEED_SHARE, FREQUENT = 2.0, 0.002, 0.04
+#: Polarity from which a term belongs to the lexicon, and texts or stretches it must be in.
+LEXICON, LEAST_DOCS = 0.72, 3
+#: Weighted lexicon words that mark a stretch, the share of its stretches that must be marked for a
+#: word to join the lexicon, and the standard errors by which it must be.
+MARKED, JOINS, SURE = 2.0, 0.5, 4.0
 #: Labelled rows, at most, that the last step is fitted on.
 FIT_ROWS = 20_000
 #: Labels that may be broadcast to the documents; more are joined by a shuffle.
 BROADCAST_LABELS = 2_000_000
 ENDS = b".,;:!?\"'`()[]{}<>*#$%&|~^_-+=/\\@"
 THRESHOLD = 0.3
+#: Words whose terms a task keeps at hand.
+MEMO = 300_000
 
 
 def is_held_out(doc_id: object) -> bool:
@@ -65,68 +81,122 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return told.join(F.broadcast(one.drop("h")) if small else one.drop("h"), F.col("id") == F.col("one")).select("text", F.col("marked").alias("toxic")).where("text != ''")
 
 
-def word_evidence(training: DataFrame) -> DataFrame:
-    """(word, a, b): the toxic and the other training texts that hold each word."""
+def terms(word: bytes) -> tuple[str, ...]:
+    """The terms of a word (a stem ends with a hyphen, which no word does), the longest first."""
+    bare = word.strip(ENDS).decode(errors="replace")
+    return (bare, *(f"{bare[:n]}-" for n in reversed(STEMS) if n < len(bare))) if len(bare) > 1 else ()
+
+
+def term_evidence(training: DataFrame) -> DataFrame:
+    """(term, a, b, a2, b2): the toxic and the other training texts that hold each term, and those
+    that hold it twice or more."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[bytes, list[int]] = {}
+        seen: dict[str, list[int]] = {}
+        known: dict[bytes, tuple[str, ...]] = {}
 
         def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array([v[1] for v in seen.values()], pa.int64()), pa.array([v[0] for v in seen.values()], pa.int64())], ["word", "a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), *(pa.array([v[i] for v in seen.values()], pa.int64()) for i in (1, 0, 3, 2))], ["term", "a", "b", "a2", "b2"])
 
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for w in {x.strip(ENDS) for x in set(split(text))}:
-                    seen.setdefault(w, [0, 0])[toxic] += 1
-            if len(seen) > 400_000:
-                yield flush()
-                seen = {}
+                held: dict[str, int] = {}
+                for w, n in Counter(split(text)).items():
+                    t = known.get(w)
+                    if t is None:
+                        if len(known) >= MEMO:
+                            known.clear()
+                        t = known[w] = terms(w)
+                    for x in t:
+                        held[x] = held.get(x, 0) + n
+                for x, n in held.items():
+                    c = seen.get(x)
+                    if c is None:
+                        c = seen[x] = [0, 0, 0, 0]
+                    c[toxic] += 1
+                    if n > 1:
+                        c[2 + toxic] += 1
+                if len(seen) > 400_000:
+                    yield flush()
+                    seen = {}
         yield flush()
 
-    return training.mapInArrow(count, "word binary, a long, b long").groupBy("word").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where("length(word) > 1")
+    return training.mapInArrow(count, "term string, a long, b long, a2 long, b2 long").groupBy("term").agg(*(F.sum(c).alias(c) for c in ("a", "b", "a2", "b2")))
 
 
-def contexts(training: DataFrame, words: list[bytes]) -> DataFrame:
-    """(word, before): how many distinct words stand before each word in toxic training texts."""
-    wanted = set(words)
+def surroundings(rows: DataFrame, wanted: set[str]) -> DataFrame:
+    """(term, around): how many distinct pairs of words stand around each term."""
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, tuple[str, ...]] = {}
         for batch in batches:
-            found: set[tuple[bytes, bytes]] = set()
+            found: set[tuple[str, bytes]] = set()
             for text in batch.column(0).to_pylist():
-                ws = [w.strip(ENDS) for w in split(text)]
-                found.update((w, before) for before, w in zip([b"", *ws], ws) if w in wanted)
+                ws = [b"", *split(text), b""]
+                for i, w in enumerate(ws):
+                    t = known.get(w)
+                    if t is None:
+                        if len(known) >= MEMO:
+                            known.clear()
+                        t = known[w] = tuple(x for x in terms(w) if x in wanted)
+                    for x in t:
+                        found.add((x, ws[i - 1] + b" " + w + b" " + ws[i + 1]))
             out = list(found)
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.binary()) for i in (0, 1)], ["word", "before"])
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([zlib.crc32(x[1]) for x in out], pa.int64())], ["term", "pair"])
 
-    seen = training.where("toxic").select("text").mapInArrow(pairs, "word binary, before binary").distinct()
-    return seen.groupBy("word").agg(F.count("*").alias("before"))
+    return rows.select("text").mapInArrow(pairs, "term string, pair long").distinct().groupBy("term").agg(F.count("*").alias("around"))
 
 
-def vocabulary(training: DataFrame, toxic: int, clean: int) -> tuple[list[bytes], int, np.ndarray, np.ndarray]:
-    """The graph's words, how many of them (the first) may be toxic, and the places of toxic and
-    clean seeds among them."""
-    # The log-likelihood ratio of a word's documents against the share of toxic texts.
-    a, b, share = F.col("a").cast("double"), F.col("b").cast("double"), toxic / max(1, toxic + clean)
+def _gain(a: Column, b: Column, share: float) -> Column:
+    """The log-likelihood ratio of a term's texts against the share of toxic ones; 0 for terms that
+    toxic texts do not hold LIFT times as often as their share."""
     part = lambda x, of: F.when(x > 0, x * F.log(x / ((a + b) * of))).otherwise(0.0)
-    g = 2 * (part(a, share) + part(b, max(1 - share, 1e-9))) * F.when(a > (a + b) * share, 1).otherwise(-1)
-    rated = cut(word_evidence(training).where(F.col("a") + F.col("b") >= LEAST_DOCS).withColumn("g", g))
-    maybe = rated.where(f"g > {LEAST_GAIN}").orderBy(F.desc("g"), "word").limit(CLOSE)
-    close = contexts(training, [bytes(r["word"]) for r in maybe.collect()])
-    close = maybe.join(close, "word").withColumn("a", F.least("a", "before")).withColumn("g", g)
-    sure = close.where((F.col("g") > LEAST_GAIN) & (F.col("a") >= LEAST_DOCS)).orderBy(F.desc("g"), "word").limit(EVIDENT).collect()
-    often = rated.where("g <= 1").orderBy(F.desc("b"), "word").limit(FREQUENT).collect()
-    words = [bytes(r["word"]) for r in [*sure, *often]]
-    return words, len(sure), np.arange(min(TOXIC_SEEDS, len(sure))), np.arange(len(sure), min(len(sure) + CLEAN_SEEDS, len(words)))
-
-
-def together(docs: DataFrame, words: list[bytes]) -> tuple[np.ndarray, int]:
+    return F.when(a >= LIFT * share * (a + b), 2 * (part(a, share) + part(b, max(1 - share, 1e-9)))).otherwise(0.0)
+
+
+def without_doubles(rated: list[tuple[str, int, float]]) -> list[str]:
+    """Of (term, toxic texts, gain): no stem which one longer term makes up for the most part, and
+    no term under a stem of as much evidence."""
+    by_name = sorted(rated)
+    names = [t for t, _, _ in by_name]
+
+    def made_up(stem: str, a: int) -> bool:
+        bare = stem[:-1]
+        lo, hi = bisect.bisect_left(names, bare), bisect.bisect_left(names, bare + chr(0x10FFFF))
+        return any(b >= BRANCHES * a and len(u.rstrip("-")) > len(bare) for u, b, _ in by_name[lo:hi])
+
+    kept = [(t, g) for t, a, g in rated if not (t.endswith("-") and made_up(t, a))]
+    gains = dict(kept)
+    return [t for t, g in kept if not any(gains.get(f"{t[:n]}-", -1.0) >= g for n in STEMS if n < len(t.rstrip("-")))]
+
+
+def vocabulary(training: DataFrame, toxic: int, clean: int) -> tuple[list[str], list[str]]:
+    """The toxic seeds, and the frequent words that are none."""
+    share = toxic / max(1, toxic + clean)
+    rated = term_evidence(training).where((F.col("a") + F.col("b") >= LEAST_DOCS)).select("term", "a", "b", "a2", "b2")
+    rated = cut(rated.withColumn("g", F.greatest(_gain(F.col("a"), F.col("b"), share), _gain(F.col("a2"), F.col("b2"), share))))
+    chance = 2 * math.log(max(2, rated.count()))
+    maybe = rated.where((F.col("g") > chance) & (F.col("a") >= max(LEAST_DOCS, SEED_SHARE * toxic))).select("term", "a", "g").collect()
+    names = without_doubles(sorted(((r["term"], r["a"], r["g"]) for r in maybe), key=lambda x: (-x[2], x[0])))
+    often = rated.where((F.col("a") + F.col("b") >= max(LEAST_DOCS, FREQUENT * (toxic + clean))) & (F.col("g") <= chance) & ~F.col("term").endswith("-")).select("term").collect()
+    if not names:
+        return [], []
+    close = rated.join(surroundings(training.where("toxic"), set(names)), "term").where(F.col("around") >= LEAST_DOCS)
+    for c in ("a", "a2"):
+        close = close.withColumn(c, F.least(c, "around"))
+    close = close.withColumn("g", F.greatest(_gain(F.col("a"), F.col("b"), share), _gain(F.col("a2"), F.col("b2"), share)))
+    seeds = close.where(F.col("g") > chance).select("term", "g").collect()
+    return [r["term"] for r in sorted(seeds, key=lambda r: (-r["g"], r["term"]))], sorted(r["term"] for r in often)
+
+
+def together(docs: DataFrame, words: list[str]) -> tuple[np.ndarray, int]:
     """In how many stretches each two words are met (the diagonal: each word), and how many
     stretches there are, over all documents. A task sends one packed matrix of bounded size."""
     number, k = {w: i for i, w in enumerate(words)}, len(words)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros((k, k), np.int64), 0
+        place: dict[bytes, tuple[int, ...]] = {}
 
         def add(rows: list[int], cols: list[int], size: int) -> None:
             x = np.zeros((size, k), np.float32)
@@ -134,14 +204,16 @@ def together(docs: DataFrame, words: list[bytes]) -> tuple[np.ndarray, int]:
             total[:] += np.rint(x.T @ x).astype(np.int64)
 
         for batch in batches:
-            rows, cols, size, place = [], [], 0, {}
+            rows, cols, size = [], [], 0
             for text in batch.column(0).to_pylist():
                 ws = split(text)
-                for w in ws:
+                if len(place) >= MEMO:
+                    place.clear()
+                for w in set(ws):
                     if w not in place:
-                        place[w] = number.get(w.strip(ENDS), -1)
+                        place[w] = tuple(number[t] for t in terms(w) if t in number)
                 for lo in range(0, len(ws), STRETCH):
-                    met = {place[w] for w in ws[lo : lo + STRETCH]} - {-1}
+                    met = {i for w in set(ws[lo : lo + STRETCH]) for i in place[w]}
                     rows += [size] * len(met)
                     cols += met
                     size += 1
@@ -178,16 +250,48 @@ def together(docs: DataFrame, words: list[bytes]) -> tuple[np.ndarray, int]:
     return both + np.triu(both, 1).T, n
 
 
-def polarity(both: np.ndarray, n: int, toxic: np.ndarray, clean: np.ndarray) -> np.ndarray:
-    """Each word's share of toxic arrivals of random walks over the PPMI graph."""
+def associations(both: np.ndarray, n: int) -> np.ndarray:
+    """The positive pointwise mutual information of each two terms that are met together more often
+    than chance explains."""
     alone = np.maximum(np.diag(both), 1).astype(float)
-    with np.errstate(divide="ignore"):
-        ppmi = np.maximum(0, np.log(np.where(both >= LEAST_DOCS, both, 0) * max(n, 1) / np.outer(alone, alone)))
+    chance = np.outer(alone, alone) / max(n, 1)
+    sure = (both >= LEAST_DOCS) & (both > chance + SURE * np.sqrt(chance))
+    ppmi = np.log(np.where(sure, both / chance, 1))
     np.fill_diagonal(ppmi, 0)
-    if len(ppmi) > NEIGHBOURS:
-        least = np.partition(ppmi, -NEIGHBOURS, 1)[:, [-NEIGHBOURS]]
-        near = np.where(ppmi >= least, ppmi, 0)
-        ppmi = np.maximum(near, near.T)
+    return ppmi
+
+
+def communities(weight: np.ndarray, rounds: int = 50) -> np.ndarray:
+    """A label for each node, by moving nodes while modularity grows."""
+    label, degree = np.arange(len(weight)), weight.sum(1)
+    mass, total = degree.copy(), max(degree.sum(), 1e-12)
+    for _ in range(rounds):
+        moved = 0
+        for i in range(len(weight)):
+            mass[label[i]] -= degree[i]
+            gain = np.bincount(label, weights=weight[i], minlength=len(weight)) - degree[i] * mass / total
+            best = int(gain.argmax())
+            if gain[best] > gain[label[i]] + 1e-12:
+                label[i], moved = best, moved + 1
+            mass[label[i]] += degree[i]
+        if not moved:
+            break
+    return label
+
+
+def polarity(both: np.ndarray, n: int, toxic: int) -> np.ndarray:
+    """Of the first ``toxic`` terms, seeds, and the others, frequent words: each term's share of
+    toxic arrivals of random walks over the PPMI graph, within its own community. 0 for most clean
+    arrivals; else the odds are scaled so that the community's median word has 0.5, or more evenly
+    where even that word is all but out of the reach of its toxic seeds."""
+    ppmi = associations(both, n)
+    label = communities(ppmi[toxic:, toxic:])
+    every, sizes = np.unique(label, return_counts=True)
+    every = every[sizes >= min(LEAST_DOCS, sizes.max(initial=0))]
+    if not len(every):
+        return np.ones(len(both))
+    near = np.stack([ppmi[:, toxic:][:, label == c].mean(1) for c in every], 1)
+    own = near.argmax(1)
     step = ppmi / np.maximum(ppmi.sum(1, keepdims=True), 1e-12)
 
     def walk(seeds: np.ndarray) -> np.ndarray:
@@ -198,47 +302,128 @@ def polarity(both: np.ndarray, n: int, toxic: np.ndarray, clean: np.ndarray) ->
             p = WALK_ON * (p @ step) + (1 - WALK_ON) * start
         return p
 
-    bad, good = walk(toxic), walk(clean)
-    return bad / np.maximum(bad + good, 1e-12)
+    out = np.zeros(len(both))
+    for c, name in enumerate(every):
+        seeds = np.flatnonzero(own[:toxic] == c)
+        if len(seeds):
+            bad, good = walk(seeds), walk(toxic + np.flatnonzero(label == name))
+            odds, here = bad / np.maximum(good, 1e-12), own == c
+            scaled = odds / max(float(np.median(odds[toxic:][label == name])), 0.1)
+            out[here] = np.where(odds > 1, scaled / (1 + scaled), 0)[here]
+    return out
+
+
+def joining(docs: DataFrame, lexicon: dict[str, float]) -> dict[str, float]:
+    """word -> weight of the words, whether labelled rows hold them or not, that the walk's last
+    step reaches from the stretches which ``lexicon`` marks."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[bytes, list[int]] = {}
+        weight: dict[bytes, float] = {}
 
+        def flush() -> pa.RecordBatch:
+            kept = [(w, v) for w, v in ((w.strip(ENDS).decode(errors="replace"), v) for w, v in seen.items()) if len(w) > 1]
+            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.string()), *(pa.array([v[i] for _, v in kept], pa.int64()) for i in (0, 1))], ["term", "met", "marked"])
 
-def fit(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Intercept and slope (not negative) of a logistic regression, with a weak ridge."""
-    design, beta = np.c_[np.ones(len(x)), x], np.zeros(2)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                ws = split(text)
+                if len(weight) >= MEMO:
+                    weight.clear()
+                for w in set(ws):
+                    if w not in weight:
+                        weight[w] = next((lexicon[t] for t in terms(w) if t in lexicon), 0.0)
+                for lo in range(0, len(ws), STRETCH):
+                    here = ws[lo : lo + STRETCH]
+                    marked = sum(map(weight.__getitem__, here)) >= MARKED
+                    for w in set(here):
+                        c = seen.get(w)
+                        if c is None:
+                            c = seen[w] = [0, 0]
+                        c[0] += 1
+                        c[1] += marked
+                if len(seen) > 400_000:
+                    yield flush()
+                    seen = {}
+        yield flush()
+
+    rows = texts(docs).select("text")
+    # A word that never stands in a marked stretch needs no row of its own beyond its task's table.
+    met = rows.mapInArrow(count, "term string, met long, marked long").groupBy("term").agg(F.sum("met").alias("met"), F.sum("marked").alias("marked"))
+    p, z = F.col("marked") / F.col("met"), SURE
+    low = (p + z * z / (2 * F.col("met")) - z * F.sqrt((p * (1 - p) + z * z / (4 * F.col("met"))) / F.col("met"))) / (1 + z * z / F.col("met"))
+    sure = cut(met.where(F.col("marked") > 0).withColumn("low", low).where(F.col("low") >= JOINS))
+    new = {r["term"]: r["low"] for r in sure.select("term", "low").collect()}
+    new = {t: x for t, x in new.items() if not any(u in lexicon for u in terms(t.encode()))}
+    if not new:
+        return {}
+    around = {r["term"]: r["around"] for r in surroundings(rows, set(new)).collect()}
+    # As many surroundings as would do if each were one stretch, all of them marked.
+    least = math.ceil(SURE * SURE * JOINS / (1 - JOINS))
+    return {t: x for t, x in new.items() if around.get(t, 0) >= least}
+
+
+def fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Intercept and slopes (not negative) of a logistic regression, with a weak ridge."""
+    design, ridge = np.c_[np.ones(len(x)), x], np.r_[1e-6, np.full(x.shape[1], 1e-2)]
+    beta = np.zeros(design.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-design @ beta))
-        hessian = design.T @ (design * (p * (1 - p))[:, None]) + np.diag([1e-6, 1e-2])
-        step = np.linalg.solve(hessian, design.T @ (y - p) - np.array([1e-6, 1e-2]) * beta)
+        hessian = design.T @ (design * (p * (1 - p))[:, None]) + np.diag(ridge)
+        step = np.linalg.solve(hessian, design.T @ (y - p) - ridge * beta)
         beta = beta + np.clip(step, -4, 4)
         if np.abs(step).max() < 1e-8:
             break
-    return float(beta[0]), float(max(beta[1], 0))
+    if (beta[1:] < 0).any() and x.shape[1] > 1:  # without the slopes that would turn a sign
+        keep = beta[1:] > 0
+        out = np.zeros(len(beta))
+        out[np.r_[True, keep]] = fit(x[:, keep], y)
+        return out
+    return np.r_[beta[0], np.maximum(beta[1:], 0)]
 
 
-def induced_lexicon(docs: DataFrame, training: DataFrame) -> dict[bytes, float]:
-    """word -> weight (its polarity) of the words that belong to the lexicon."""
+def induced_lexicon(docs: DataFrame, training: DataFrame) -> dict[str, float]:
+    """term -> weight of the terms that belong to the lexicon: polarity, or share of marked
+    stretches at least."""
     sizes = {r["toxic"]: r["n"] for r in training.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not sizes.get(True):
         return {}
-    words, maybe, toxic, clean = vocabulary(training, sizes[True], sizes.get(False, 0))
-    if not len(toxic):
+    seeds, often = vocabulary(training, sizes[True], sizes.get(False, 0))
+    if not seeds:
         return {}
-    both, n = together(docs, words)
-    p = polarity(both, n, toxic, clean)
-    return {w: float(x) for w, x, m in zip(words[:maybe], p, np.diag(both)) if x >= LEXICON and m >= LEAST_DOCS}
+    both, n = together(docs, [*seeds, *often])
+    p = polarity(both, n, len(seeds))
+    lexicon = {w: float(x) for w, x, m in zip([*seeds, *often], p, np.diag(both)) if x >= LEXICON and m >= LEAST_DOCS}
+    return lexicon | joining(docs, lexicon) if lexicon else {}
 
 
-def weigh(texts_: list[str], lexicon: dict[bytes, float]) -> np.ndarray:
-    """1 - exp(-sum of the weights of a text's words) for each text."""
+def weigh(texts_: list[str], lexicon: dict[str, float]) -> np.ndarray:
+    """The words of each text and the weights of its lexicon words, added up."""
     place: dict[bytes, float] = {}
-    out = np.zeros(len(texts_))
+    out = np.zeros((len(texts_), 2))
     for i, text in enumerate(texts_):
         ws = split(text)
-        for w in ws:
+        if len(place) >= MEMO:
+            place.clear()
+        for w in set(ws):
             if w not in place:
-                place[w] = lexicon.get(w.strip(ENDS), 0.0)
-        out[i] = sum(map(place.__getitem__, ws))
-    return 1 - np.exp(-out)
+                place[w] = next((lexicon[t] for t in terms(w) if t in lexicon), 0.0)
+        out[i] = len(ws), sum(map(place.__getitem__, ws))
+    return out
+
+
+def rates(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Weight a word of toxic and of other texts; one word of the latter is assumed beforehand."""
+    high = x[y == 1, 1].sum() / max(1.0, x[y == 1, 0].sum())
+    low = (x[y == 0, 1].sum() + 1) / max(1.0, x[y == 0, 0].sum() + 1)
+    return float(max(high, 1e-9)), float(min(low, max(high, 1e-9) / 2))
+
+
+def evidence(x: np.ndarray, high: float, low: float) -> np.ndarray:
+    """How much likelier a text's weights are at the toxic rate, on a scale that dampens both ends,
+    and whether there are any."""
+    z = x[:, 1] * math.log(high / low) - x[:, 0] * (high - low)
+    return np.stack([np.sign(z) * np.log1p(np.abs(z)), 1 - np.exp(-x[:, 1])], 1)
 
 
 def toxicity_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -248,15 +433,24 @@ def toxicity_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
     lexicon = induced_lexicon(docs, training)
     rows = texts(docs)
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    a, b = -np.inf, 0.0
+    beta, high, low = np.zeros(3), 1.0, 0.5
+
+    def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = weigh(batch.column(1).to_pylist(), lexicon)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x[:, 0]), pa.array(x[:, 1])], ["y", "n", "x"])
+
     if lexicon:
-        sample = training.select(F.col("toxic").cast("int").alias("y"), "text").limit(FIT_ROWS).mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([x.column(0), pa.array(weigh(x.column(1).to_pylist(), lexicon))], ["y", "x"]) for x in batches), "y int, x double").toPandas()
-        a, b = fit(sample["x"].to_numpy(), sample["y"].to_numpy().astype(float))
+        told = training.select(F.col("toxic").cast("int").alias("y"), "text", F.xxhash64("text").alias("h")).orderBy("h", "y").limit(FIT_ROWS)
+        sample = told.select("y", "text").mapInArrow(weighed, "y int, n double, x double").toPandas()
+        x, y = sample[["n", "x"]].to_numpy(), sample["y"].to_numpy().astype(float)
+        high, low = rates(x, y)
+        beta = fit(evidence(x, high, low), y)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = weigh(batch.column(1).to_pylist(), lexicon)
-            score = 1 / (1 + np.exp(-np.clip(a + b * x, -700, 700))) if lexicon else np.zeros(len(x))
+            score = 1 / (1 + np.exp(-np.clip(beta[0] + evidence(x, high, low) @ beta[1:], -700, 700))) if lexicon else np.zeros(len(x))
             held = [is_held_out(i) for i in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held, pa.bool_()), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 

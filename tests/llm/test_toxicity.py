@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from peakfield.llm.toxicity import fit, induced_lexicon, is_held_out, polarity, together, toxicity_digest, training_rows, weigh
+from peakfield.llm.toxicity import communities, evidence, fit, induced_lexicon, is_held_out, joining, polarity, rates, terms, together, toxicity_digest, training_rows, weigh, without_doubles
 
 from .conftest import frame, prose, rows
 
@@ -35,30 +35,74 @@ def test_held_out(spark):
     assert all(r.predicted == 0 for r in got if r.doc_id is not None and r.doc_id < 1000)
 
 
-def test_lexicon_reaches_beyond_seeds(spark):
+def test_lexicon_holds_bad_words(spark):
     docs, marks = planted()
     labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
     frame_ = frame(spark, docs)
     found = induced_lexicon(frame_, training_rows(frame_, labels))
-    assert len(set(found) & {w.encode() for w in BAD}) >= 9 and len(set(found) - {w.encode() for w in BAD}) <= 1
+    assert len(set(found) & set(BAD)) >= 9 and len(set(found) - set(BAD)) <= 1
+
+
+def test_several_vocabularies(spark):
+    """Words of separate tongues, the lesser with one inflected stem: each is judged by its own kind."""
+    r, docs, marks = random.Random(8), [], []
+    tongues = [(["tar", "mol", "ven", "sip"], BAD, 6), (["qua", "zei", "oxu", "yil"], ["gruntz" + x for x in "abcdefghijklmnop"], 2)]
+    for i in range(3000, 3900):
+        parts, bad, often = tongues[i % 5 == 0]
+        w = ["".join(r.choice(parts) for _ in range(r.randrange(1, 3))) for _ in range(r.randrange(60, 150))]
+        toxic = i % 7 == 0
+        for _ in range(r.randrange(4, 9) if toxic else 0):
+            w.insert(r.randrange(len(w)), r.choice(bad))
+        docs.append((i, " ".join(w)))
+        marks.append((i, 1, int(toxic)))
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    got = [x for x in toxicity_digest(frame(spark, docs), labels).collect() if x.held_out]
+    for lesser in (False, True):
+        bad = [x.predicted for x in got if (x.doc_id % 5 == 0) == lesser and x.doc_id % 7 == 0]
+        good = [x.predicted for x in got if (x.doc_id % 5 == 0) == lesser and x.doc_id % 7]
+        assert len(bad) >= 4 and sum(bad) >= 0.9 * len(bad) and sum(good) <= 0.02 * len(good)
+
+
+def test_words_without_labels_join(spark):
+    """A word that no labelled text holds joins from marked stretches, unless it is in copies alone."""
+    r, docs = random.Random(5), []
+    for i in range(300):
+        w = prose(5000 + i, 80).split()
+        if i % 3 == 0:
+            w[10:10] = ["vile", "foul", "unheard" if i % 2 else "rotten", "nasty"]
+            r.shuffle(w)
+        docs.append((i, " ".join(w)))
+    copy = prose(1, 60) + " vile copied foul " + prose(2, 60)
+    found = joining(frame(spark, [*docs, *((1000 + i, copy) for i in range(50))]), {"vile": 0.9, "foul": 0.9, "nasty": 0.9})
+    assert {"unheard", "rotten"} <= set(found) and "copied" not in found and len(found) <= 3
 
 
 def test_together(spark):
-    docs = frame(spark, [(1, "a b, a"), (2, "b c " + "x " * 200 + "a"), (3, None)]).repartition(3)
-    both, n = together(docs, [b"a", b"b", b"c"])
+    docs = frame(spark, [(1, "a1 b1 a1"), (2, "b1 c1 " + "x " * 200 + "a1"), (3, None)]).repartition(3)
+    both, n = together(docs, ["a1", "b1", "c1"])
     assert n == 3 and both.tolist() == [[2, 1, 0], [1, 2, 1], [0, 1, 1]]
 
 
+def test_terms():
+    assert terms(b"(Fools!)") == ("Fools", "Fool-", "Foo-") and terms(b"..") == () and terms("réeuxs".encode())[1] == "réeux-"
+    rated = [("fool-", 10, 50.0), ("fools", 9, 40.0), ("bad-", 20, 60.0), ("badly", 9, 20.0), ("badder", 9, 70.0), ("sole", 5, 30.0)]
+    assert without_doubles(rated) == ["fools", "bad-", "badder", "sole"]
+
+
 def test_polarity_and_fit():
-    both = np.full((8, 8), 10)
-    both[:4, :4] += 60
-    both[4:, 4:] += 60
+    both = np.full((9, 9), 1)
+    both[:4, :4] += 60  # a seed, 0, and its community
+    both[4:, 4:] += 60  # another, without seeds
+    assert len(set(communities(np.where((both > 50) & ~np.eye(9, dtype=bool), both, 0)).tolist())) == 2
     np.fill_diagonal(both, 100)
-    p = polarity(both, 1000, np.array([0]), np.array([7]))
-    assert (p[:4] > 0.5).all() and (p[4:] < 0.5).all()
-    a, b = fit(np.array([0.0] * 50 + [1.0] * 50), np.array([0.0] * 48 + [1.0] * 52))
+    p = polarity(both, 300, 1)
+    assert p[0] > 0.5 > p[1:4].max() and (p[4:] == 0).all()
+    a, b = fit(np.array([[0.0]] * 50 + [[1.0]] * 50), np.array([0.0] * 48 + [1.0] * 52))
     assert 1 / (1 + np.exp(-a)) < 0.1 and 1 / (1 + np.exp(-a - b)) > 0.9
-    assert weigh(["", "X. y"], {b"x": 1.0}).round(3).tolist() == [0, 0.632]
+    x = weigh(["", "x1. y1", "x1 x1"], {"x1": 1.0})
+    assert x.tolist() == [[0, 0], [2, 1], [2, 2]]
+    high, low = rates(x, np.array([0, 0, 1]))
+    assert high > low and (evidence(x, high, low)[2] > evidence(x, high, low)[1]).all() and not evidence(x, high, low)[0].any()
 
 
 def test_without_labels(spark, empty):
