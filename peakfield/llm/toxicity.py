@@ -7,7 +7,7 @@ frequent words by positive pointwise mutual information of their presence in the
 text, counted over all documents. Its communities (languages or subjects, as the words show them,
 whatever ``lang`` says) each have their own toxic and clean seeds, and random walks with restart
 from either give each term a polarity; so a term of a small community is judged against its own
-kind. Terms of high polarity mark stretches, and a last step of the walk goes from these to every
+kind. Seeds that the walk bears out mark stretches, and a last step of the walk goes from these to every
 word of the corpus: a word, known to the labels or not, joins the lexicon if it surely stands in
 marked stretches more often than not, in differing surroundings.
 
@@ -30,8 +30,9 @@ import bisect
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -87,13 +88,30 @@ def terms(word: bytes) -> tuple[str, ...]:
     return (bare, *(f"{bare[:n]}-" for n in reversed(STEMS) if n < len(bare))) if len(bare) > 1 else ()
 
 
+class Known(dict):
+    """What ``find`` says of each word, kept at hand for up to MEMO words."""
+
+    def __init__(self, find: Callable[[bytes], object]) -> None:
+        super().__init__()
+        self.find = find
+
+    def __missing__(self, word: bytes) -> object:
+        if len(self) >= MEMO:
+            self.clear()
+        self[word] = found = self.find(word)
+        return found
+
+    def of(self, words: list[bytes], kind: type) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), kind, len(words))
+
+
 def term_evidence(training: DataFrame) -> DataFrame:
     """(term, a, b, a2, b2): the toxic and the other training texts that hold each term, and those
     that hold it twice or more."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, list[int]] = {}
-        known: dict[bytes, tuple[str, ...]] = {}
+        known = Known(terms)
 
         def flush() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), *(pa.array([v[i] for v in seen.values()], pa.int64()) for i in (1, 0, 3, 2))], ["term", "a", "b", "a2", "b2"])
@@ -102,12 +120,7 @@ def term_evidence(training: DataFrame) -> DataFrame:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 held: dict[str, int] = {}
                 for w, n in Counter(split(text)).items():
-                    t = known.get(w)
-                    if t is None:
-                        if len(known) >= MEMO:
-                            known.clear()
-                        t = known[w] = terms(w)
-                    for x in t:
+                    for x in known[w]:
                         held[x] = held.get(x, 0) + n
                 for x, n in held.items():
                     c = seen.get(x)
@@ -128,19 +141,15 @@ def surroundings(rows: DataFrame, wanted: set[str]) -> DataFrame:
     """(term, around): how many distinct pairs of words stand around each term."""
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, tuple[str, ...]] = {}
+        known = Known(lambda w: tuple(t for t in terms(w) if t in wanted))
         for batch in batches:
             found: set[tuple[str, bytes]] = set()
             for text in batch.column(0).to_pylist():
-                ws = [b"", *split(text), b""]
-                for i, w in enumerate(ws):
-                    t = known.get(w)
-                    if t is None:
-                        if len(known) >= MEMO:
-                            known.clear()
-                        t = known[w] = tuple(x for x in terms(w) if x in wanted)
-                    for x in t:
-                        found.add((x, ws[i - 1] + b" " + w + b" " + ws[i + 1]))
+                ws = split(text)
+                for i, met in enumerate(map(known.__getitem__, ws)):
+                    if met:
+                        pair = (ws[i - 1] if i else b"") + b" " + ws[i] + b" " + (ws[i + 1] if i + 1 < len(ws) else b"")
+                        found.update((t, pair) for t in met)
             out = list(found)
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([zlib.crc32(x[1]) for x in out], pa.int64())], ["term", "pair"])
 
@@ -195,32 +204,35 @@ def together(docs: DataFrame, words: list[str]) -> tuple[np.ndarray, int]:
     number, k = {w: i for i, w in enumerate(words)}, len(words)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros((k, k), np.int64), 0
-        place: dict[bytes, tuple[int, ...]] = {}
-
-        def add(rows: list[int], cols: list[int], size: int) -> None:
-            x = np.zeros((size, k), np.float32)
-            x[rows, cols] = 1
+        total, n, several = np.zeros((k, k), np.int64), 0, {}
+
+        def code(word: bytes) -> int:
+            """The one term of a word, a number beyond all terms for several, -1 for none."""
+            met = tuple(number[t] for t in terms(word) if t in number)
+            return met[0] if len(met) == 1 else several.setdefault(met, k + len(several)) if met else -1
+
+        def add(codes: list[np.ndarray], first: list[int], size: int) -> None:
+            x = np.zeros((size, k + len(several)), np.float32)
+            for c, lo in zip(codes, first):
+                at = np.flatnonzero(c >= 0)
+                x[lo + at // STRETCH, c[at]] = 1
+            for met, column in several.items():
+                x[:, list(met)] = np.maximum(x[:, list(met)], x[:, [column]])
+            x = x[:, :k]
             total[:] += np.rint(x.T @ x).astype(np.int64)
 
+        place = Known(code)
         for batch in batches:
-            rows, cols, size = [], [], 0
+            codes, first, size = [], [], 0
             for text in batch.column(0).to_pylist():
                 ws = split(text)
-                if len(place) >= MEMO:
-                    place.clear()
-                for w in set(ws):
-                    if w not in place:
-                        place[w] = tuple(number[t] for t in terms(w) if t in number)
-                for lo in range(0, len(ws), STRETCH):
-                    met = {i for w in set(ws[lo : lo + STRETCH]) for i in place[w]}
-                    rows += [size] * len(met)
-                    cols += met
-                    size += 1
+                codes.append(place.of(ws, np.int32))
+                first.append(size)
+                size += -(-len(ws) // STRETCH)
                 if size >= 1024:
-                    add(rows, cols, size)
-                    rows, cols, n, size = [], [], n + size, 0
-            add(rows, cols, size)
+                    add(codes, first, size)
+                    codes, first, n, size = [], [], n + size, 0
+            add(codes, first, size)
             n += size
         at = np.flatnonzero(np.triu(total))
         packed = zlib.compress(at.astype("<u4").tobytes() + total.reshape(-1)[at].astype("<i8").tobytes(), 1)
@@ -313,53 +325,68 @@ def polarity(both: np.ndarray, n: int, toxic: int) -> np.ndarray:
     return out
 
 
-def joining(docs: DataFrame, lexicon: dict[str, float]) -> dict[str, float]:
-    """word -> weight of the words, whether labelled rows hold them or not, that the walk's last
-    step reaches from the stretches which ``lexicon`` marks."""
+class Weights:
+    """The weights of words, and a quick look at which texts have any."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[bytes, list[int]] = {}
-        weight: dict[bytes, float] = {}
+    def __init__(self, lexicon: dict[str, float]) -> None:
+        self.found = ahocorasick.Automaton()
+        for t in lexicon or ("\ufdd0",):  # an automaton needs a word
+            self.found.add_word(t.rstrip("-"), 1)
+        self.found.make_automaton()
+        self.of_word = Known(lambda w: next((lexicon[t] for t in terms(w) if t in lexicon), 0.0))
 
-        def flush() -> pa.RecordBatch:
-            kept = [(w, v) for w, v in ((w.strip(ENDS).decode(errors="replace"), v) for w, v in seen.items()) if len(w) > 1]
-            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.string()), *(pa.array([v[i] for _, v in kept], pa.int64()) for i in (0, 1))], ["term", "met", "marked"])
+    def of(self, text: str, words: list[bytes]) -> np.ndarray | None:
+        """The weights of a text's words; None if all are 0."""
+        if next(self.found.iter(text.encode().lower().decode()), None) is None:
+            return None
+        return self.of_word.of(words, np.float64)
+
+
+def joining(docs: DataFrame, lexicon: dict[str, float], judged: set[str]) -> dict[str, float]:
+    """word -> weight of the words, whether labelled rows hold them or not, that the walk's last
+    step reaches from the stretches which ``lexicon`` marks; but for those judged before."""
+    rows = texts(docs).select("text")
+    # As many stretches, and surroundings, as would do if all of them were marked.
+    least = math.ceil(SURE * SURE * JOINS / (1 - JOINS))
 
+    def send(counts: dict[str, int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, seen = Weights(lexicon), Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 ws = split(text)
-                if len(weight) >= MEMO:
-                    weight.clear()
-                for w in set(ws):
-                    if w not in weight:
-                        weight[w] = next((lexicon[t] for t in terms(w) if t in lexicon), 0.0)
-                for lo in range(0, len(ws), STRETCH):
-                    here = ws[lo : lo + STRETCH]
-                    marked = sum(map(weight.__getitem__, here)) >= MARKED
-                    for w in set(here):
-                        c = seen.get(w)
-                        if c is None:
-                            c = seen[w] = [0, 0]
-                        c[0] += 1
-                        c[1] += marked
-                if len(seen) > 400_000:
-                    yield flush()
-                    seen = {}
-        yield flush()
+                w = weights.of(text, ws)
+                for lo in () if w is None else range(0, len(ws), STRETCH):
+                    if w[lo : lo + STRETCH].sum() >= MARKED:
+                        seen.update({x.strip(ENDS) for x in ws[lo : lo + STRETCH]})
+            if len(seen) > 400_000:
+                yield send({w.decode(errors="replace"): n for w, n in seen.items() if len(w) > 1})
+                seen.clear()
+        yield send({w.decode(errors="replace"): n for w, n in seen.items() if len(w) > 1})
+
+    near = cut(rows.mapInArrow(marked, "term string, n long").groupBy("term").agg(F.sum("n").alias("marked")).where(F.col("marked") >= least))
+    may = {r["term"] for r in near.select("term").collect()} - judged
+    may = {t for t in may if not any(u in lexicon for u in terms(t.encode()))}
+    if not may:
+        return {}
 
-    rows = texts(docs).select("text")
-    # A word that never stands in a marked stretch needs no row of its own beyond its task's table.
-    met = rows.mapInArrow(count, "term string, met long, marked long").groupBy("term").agg(F.sum("met").alias("met"), F.sum("marked").alias("marked"))
-    p, z = F.col("marked") / F.col("met"), SURE
-    low = (p + z * z / (2 * F.col("met")) - z * F.sqrt((p * (1 - p) + z * z / (4 * F.col("met"))) / F.col("met"))) / (1 + z * z / F.col("met"))
-    sure = cut(met.where(F.col("marked") > 0).withColumn("low", low).where(F.col("low") >= JOINS))
-    new = {r["term"]: r["low"] for r in sure.select("term", "low").collect()}
-    new = {t: x for t, x in new.items() if not any(u in lexicon for u in terms(t.encode()))}
+    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Known(lambda w: next((t for t in terms(w)[:1] if t in may), None))
+        seen: Counter = Counter()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                seen.update(t for t, _ in {(t, i // STRETCH) for i, t in enumerate(map(known.__getitem__, split(text))) if t})
+        yield send(seen)
+
+    met = rows.mapInArrow(stretches, "term string, n long").groupBy("term").agg(F.sum("n").alias("met"))
+    p, n, z = F.col("marked") / F.col("met"), F.col("met"), SURE
+    low = (p + z * z / (2 * n) - z * F.sqrt((p * (1 - p) + z * z / (4 * n)) / n)) / (1 + z * z / n)
+    new = {r["term"]: r["low"] for r in near.join(met, "term").withColumn("low", low).where(F.col("low") >= JOINS).select("term", "low").collect()}
     if not new:
         return {}
     around = {r["term"]: r["around"] for r in surroundings(rows, set(new)).collect()}
-    # As many surroundings as would do if each were one stretch, all of them marked.
-    least = math.ceil(SURE * SURE * JOINS / (1 - JOINS))
     return {t: x for t, x in new.items() if around.get(t, 0) >= least}
 
 
@@ -393,22 +420,17 @@ def induced_lexicon(docs: DataFrame, training: DataFrame) -> dict[str, float]:
         return {}
     both, n = together(docs, [*seeds, *often])
     p = polarity(both, n, len(seeds))
-    lexicon = {w: float(x) for w, x, m in zip([*seeds, *often], p, np.diag(both)) if x >= LEXICON and m >= LEAST_DOCS}
-    return lexicon | joining(docs, lexicon) if lexicon else {}
+    lexicon = {w: float(x) for w, x, m in zip(seeds, p, np.diag(both)) if x >= LEXICON and m >= LEAST_DOCS}
+    return lexicon | joining(docs, lexicon, {*seeds, *often}) if lexicon else {}
 
 
-def weigh(texts_: list[str], lexicon: dict[str, float]) -> np.ndarray:
+def weigh(texts_: list[str], weights: Weights) -> np.ndarray:
     """The words of each text and the weights of its lexicon words, added up."""
-    place: dict[bytes, float] = {}
     out = np.zeros((len(texts_), 2))
     for i, text in enumerate(texts_):
         ws = split(text)
-        if len(place) >= MEMO:
-            place.clear()
-        for w in set(ws):
-            if w not in place:
-                place[w] = next((lexicon[t] for t in terms(w) if t in lexicon), 0.0)
-        out[i] = len(ws), sum(map(place.__getitem__, ws))
+        w = weights.of(text, ws)
+        out[i] = len(ws), 0 if w is None else w.sum()
     return out
 
 
@@ -436,8 +458,9 @@ def toxicity_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
     beta, high, low = np.zeros(3), 1.0, 0.5
 
     def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = Weights(lexicon)
         for batch in batches:
-            x = weigh(batch.column(1).to_pylist(), lexicon)
+            x = weigh(batch.column(1).to_pylist(), weights)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x[:, 0]), pa.array(x[:, 1])], ["y", "n", "x"])
 
     if lexicon:
@@ -448,8 +471,9 @@ def toxicity_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
         beta = fit(evidence(x, high, low), y)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = Weights(lexicon)
         for batch in batches:
-            x = weigh(batch.column(1).to_pylist(), lexicon)
+            x = weigh(batch.column(1).to_pylist(), weights)
             score = 1 / (1 + np.exp(-np.clip(beta[0] + evidence(x, high, low) @ beta[1:], -700, 700))) if lexicon else np.zeros(len(x))
             held = [is_held_out(i) for i in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held, pa.bool_()), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])

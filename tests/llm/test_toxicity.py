@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from peakfield.llm.toxicity import communities, evidence, fit, induced_lexicon, is_held_out, joining, polarity, rates, terms, together, toxicity_digest, training_rows, weigh, without_doubles
+from peakfield.llm.toxicity import Weights, communities, evidence, fit, induced_lexicon, is_held_out, joining, polarity, rates, terms, together, toxicity_digest, training_rows, weigh, without_doubles
 
 from .conftest import frame, prose, rows
 
@@ -73,7 +73,7 @@ def test_words_without_labels_join(spark):
             r.shuffle(w)
         docs.append((i, " ".join(w)))
     copy = prose(1, 60) + " vile copied foul " + prose(2, 60)
-    found = joining(frame(spark, [*docs, *((1000 + i, copy) for i in range(50))]), {"vile": 0.9, "foul": 0.9, "nasty": 0.9})
+    found = joining(frame(spark, [*docs, *((1000 + i, copy) for i in range(50))]), {"vile": 0.9, "foul": 0.9, "nasty": 0.9}, set())
     assert {"unheard", "rotten"} <= set(found) and "copied" not in found and len(found) <= 3
 
 
@@ -99,7 +99,7 @@ def test_polarity_and_fit():
     assert p[0] > 0.5 > p[1:4].max() and (p[4:] == 0).all()
     a, b = fit(np.array([[0.0]] * 50 + [[1.0]] * 50), np.array([0.0] * 48 + [1.0] * 52))
     assert 1 / (1 + np.exp(-a)) < 0.1 and 1 / (1 + np.exp(-a - b)) > 0.9
-    x = weigh(["", "x1. y1", "x1 x1"], {"x1": 1.0})
+    x = weigh(["", "x1. y1", "x1 x1"], Weights({"x1": 1.0}))
     assert x.tolist() == [[0, 0], [2, 1], [2, 2]]
     high, low = rates(x, np.array([0, 0, 1]))
     assert high > low and (evidence(x, high, low)[2] > evidence(x, high, low)[1]).all() and not evidence(x, high, low)[0].any()
