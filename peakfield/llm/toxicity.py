@@ -325,21 +325,38 @@ def polarity(both: np.ndarray, n: int, toxic: int) -> np.ndarray:
     return out
 
 
+GAPS = np.zeros(256, bool)
+GAPS[[9, 10, 11, 12, 13, 32]] = True
+
+
+def count_words(low: bytes) -> int:
+    gap = GAPS[np.frombuffer(low, np.uint8)]
+    return int((gap[:-1] & ~gap[1:]).sum()) + int(len(gap) > 0 and not gap[0])
+
+
 class Weights:
     """The weights of words, and a quick look at which texts have any."""
 
     def __init__(self, lexicon: dict[str, float]) -> None:
-        self.found = ahocorasick.Automaton()
-        for t in lexicon or ("\ufdd0",):  # an automaton needs a word
-            self.found.add_word(t.rstrip("-"), 1)
-        self.found.make_automaton()
+        self.bare = sorted({t.rstrip("-").encode() for t in lexicon})
+        # Searches one by one are faster for few terms; an automaton takes as long for any number.
+        self.found = None
+        if len(self.bare) > 64:
+            self.found = ahocorasick.Automaton()
+            for t in self.bare:
+                self.found.add_word(t.decode(), 1)
+            self.found.make_automaton()
         self.of_word = Known(lambda w: next((lexicon[t] for t in terms(w) if t in lexicon), 0.0))
 
-    def of(self, text: str, words: list[bytes]) -> np.ndarray | None:
-        """The weights of a text's words; None if all are 0."""
-        if next(self.found.iter(text.encode().lower().decode()), None) is None:
+    def of(self, low: bytes) -> tuple[list[bytes], np.ndarray] | None:
+        """The words of a text in lower case and their weights; None if all weights are 0."""
+        if self.found is None:
+            if not any(t in low for t in self.bare):
+                return None
+        elif next(self.found.iter(low.decode()), None) is None:
             return None
-        return self.of_word.of(words, np.float64)
+        words = low.split()
+        return words, self.of_word.of(words, np.float64)
 
 
 def joining(docs: DataFrame, lexicon: dict[str, float], judged: set[str]) -> dict[str, float]:
@@ -349,45 +366,45 @@ def joining(docs: DataFrame, lexicon: dict[str, float], judged: set[str]) -> dic
     # As many stretches, and surroundings, as would do if all of them were marked.
     least = math.ceil(SURE * SURE * JOINS / (1 - JOINS))
 
-    def send(counts: dict[str, int]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
-
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, seen = Weights(lexicon), Counter()
+        weights = Weights(lexicon)
         for batch in batches:
+            seen: dict[tuple[bytes, int], int] = {}
             for text in batch.column(0).to_pylist():
-                ws = split(text)
-                w = weights.of(text, ws)
-                for lo in () if w is None else range(0, len(ws), STRETCH):
+                ws, w = weights.of(text.encode().lower()) or ([], ())
+                for lo in range(0, len(ws), STRETCH):
                     if w[lo : lo + STRETCH].sum() >= MARKED:
-                        seen.update({x.strip(ENDS) for x in ws[lo : lo + STRETCH]})
-            if len(seen) > 400_000:
-                yield send({w.decode(errors="replace"): n for w, n in seen.items() if len(w) > 1})
-                seen.clear()
-        yield send({w.decode(errors="replace"): n for w, n in seen.items() if len(w) > 1})
-
-    near = cut(rows.mapInArrow(marked, "term string, n long").groupBy("term").agg(F.sum("n").alias("marked")).where(F.col("marked") >= least))
+                        here = [b"", *ws[lo : lo + STRETCH], b""]
+                        at = {x.strip(ENDS): i for i, x in enumerate(here)}
+                        for x, i in at.items():
+                            pair = (x, zlib.crc32(here[i - 1] + b" " + here[i + 1]) if 0 < i < len(here) - 1 else 0)
+                            seen[pair] = seen.get(pair, 0) + 1
+            out = [(t, pair, n) for t, pair, n in ((x.decode(errors="replace"), pair, n) for (x, pair), n in seen.items()) if len(t) > 1]
+            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.string()), *(pa.array([o[i] for o in out], pa.int64()) for i in (1, 2))], ["term", "pair", "n"])
+
+    around = rows.mapInArrow(marked, "term string, pair long, n long").groupBy("term", "pair").agg(F.sum("n").alias("n")).groupBy("term").agg(F.count("*").alias("around"), F.sum("n").alias("marked"))
+    near = cut(around.where((F.col("around") >= least) & (F.col("marked") >= least)))
     may = {r["term"] for r in near.select("term").collect()} - judged
-    may = {t for t in may if not any(u in lexicon for u in terms(t.encode()))}
+    may = sorted(t for t in may if not any(u in lexicon for u in terms(t.encode())))
     if not may:
         return {}
 
     def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Known(lambda w: next((t for t in terms(w)[:1] if t in may), None))
-        seen: Counter = Counter()
+        number = {t: i for i, t in enumerate(may)}
+        known = Known(lambda w: next((number.get(t, -1) for t in terms(w)[:1]), -1))
+        seen = np.zeros(len(may), np.int64)
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                seen.update(t for t, _ in {(t, i // STRETCH) for i, t in enumerate(map(known.__getitem__, split(text))) if t})
-        yield send(seen)
+                c = known.of(split(text), np.int64)
+                at = np.flatnonzero(c >= 0)
+                seen += np.bincount(np.unique(at // STRETCH * len(may) + c[at]) % len(may), minlength=len(may))
+        yield pa.RecordBatch.from_arrays([pa.array(may, pa.string()), pa.array(seen)], ["term", "n"])
 
     met = rows.mapInArrow(stretches, "term string, n long").groupBy("term").agg(F.sum("n").alias("met"))
     p, n, z = F.col("marked") / F.col("met"), F.col("met"), SURE
     low = (p + z * z / (2 * n) - z * F.sqrt((p * (1 - p) + z * z / (4 * n)) / n)) / (1 + z * z / n)
-    new = {r["term"]: r["low"] for r in near.join(met, "term").withColumn("low", low).where(F.col("low") >= JOINS).select("term", "low").collect()}
-    if not new:
-        return {}
-    around = {r["term"]: r["around"] for r in surroundings(rows, set(new)).collect()}
-    return {t: x for t, x in new.items() if around.get(t, 0) >= least}
+    sure = near.join(met, "term").withColumn("low", low).where(F.col("low") >= JOINS)
+    return {r["term"]: r["low"] for r in sure.select("term", "low").collect()}
 
 
 def fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -428,9 +445,9 @@ def weigh(texts_: list[str], weights: Weights) -> np.ndarray:
     """The words of each text and the weights of its lexicon words, added up."""
     out = np.zeros((len(texts_), 2))
     for i, text in enumerate(texts_):
-        ws = split(text)
-        w = weights.of(text, ws)
-        out[i] = len(ws), 0 if w is None else w.sum()
+        low = text.encode().lower()
+        found = weights.of(low)
+        out[i] = (count_words(low), 0) if found is None else (len(found[0]), found[1].sum())
     return out
 
 

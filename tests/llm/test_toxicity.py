@@ -89,6 +89,13 @@ def test_terms():
     assert without_doubles(rated) == ["fools", "bad-", "badder", "sole"]
 
 
+def test_weights_of_few_and_many_terms():
+    texts_ = ["", "vile", " a  Vile,\tday\n", "évile vilest x", "none here", "\x1c a\x85b"]
+    few = weigh(texts_, Weights({"vile": 0.5, "vil-": 0.25}))
+    assert few.tolist() == [[0, 0], [1, 0.5], [3, 0.5], [3, 0.25], [2, 0], [len(t.encode().split()) for t in texts_[5:]] + [0]]
+    assert (weigh(texts_, Weights({"vile": 0.5, "vil-": 0.25} | {f"zz{i}": 1.0 for i in range(100)})) == few).all()
+
+
 def test_polarity_and_fit():
     both = np.full((9, 9), 1)
     both[:4, :4] += 60  # a seed, 0, and its community
