@@ -394,10 +394,13 @@ def joining(docs: DataFrame, lexicon: dict[str, float], judged: set[str]) -> dic
         known = Known(lambda w: next((number.get(t, -1) for t in terms(w)[:1]), -1))
         seen = np.zeros(len(may), np.int64)
         for batch in batches:
+            found, first = [np.zeros(0, np.int64)], 0
             for text in batch.column(0).to_pylist():
                 c = known.of(split(text), np.int64)
                 at = np.flatnonzero(c >= 0)
-                seen += np.bincount(np.unique(at // STRETCH * len(may) + c[at]) % len(may), minlength=len(may))
+                found.append((first + at // STRETCH) * len(may) + c[at])
+                first += len(c) // STRETCH + 1
+            seen += np.bincount(np.unique(np.concatenate(found)) % len(may), minlength=len(may))
         yield pa.RecordBatch.from_arrays([pa.array(may, pa.string()), pa.array(seen)], ["term", "n"])
 
     met = rows.mapInArrow(stretches, "term string, n long").groupBy("term").agg(F.sum("n").alias("met"))
@@ -481,8 +484,9 @@ def toxicity_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x[:, 0]), pa.array(x[:, 1])], ["y", "n", "x"])
 
     if lexicon:
-        told = training.select(F.col("toxic").cast("int").alias("y"), "text", F.xxhash64("text").alias("h")).orderBy("h", "y").limit(FIT_ROWS)
-        sample = told.select("y", "text").mapInArrow(weighed, "y int, n double, x double").toPandas()
+        share = max(1, math.ceil(training.count() / FIT_ROWS))
+        told = training.where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0).select(F.col("toxic").cast("int").alias("y"), "text")
+        sample = told.mapInArrow(weighed, "y int, n double, x double").limit(FIT_ROWS).toPandas()
         x, y = sample[["n", "x"]].to_numpy(), sample["y"].to_numpy().astype(float)
         high, low = rates(x, y)
         beta = fit(evidence(x, high, low), y)
