@@ -53,18 +53,22 @@ def power(step: DataFrame, t: int, *, max_entries: int = MAX_ENTRIES, max_produc
     return now
 
 
-def kernel(nodes: DataFrame, edges: DataFrame, t: float | None, *, threshold: float = 0.0) -> DataFrame:
+def kernel(nodes: DataFrame, edges: DataFrame, t: float | None, *, threshold: float = 0.0, max_entries: int = MAX_ENTRIES) -> DataFrame:
     """(u, v, weight): entries of Pi^.5 P^t Pi^-.5 above the threshold, u < v; t None, 0 or infinite:
     the limit sqrt(pi_u pi_v) over the mass of their component."""
     step, pi = lazy_transition(nodes, edges)
     if t is None or t == 0 or math.isinf(t):
-        held = components(nodes, edges).join(pi, "node").withColumn("mass", F.sum("pi").over(Window.partitionBy("component")))
+        label = cut(components(nodes, edges))
+        n = label.groupBy("component").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.col("n") * F.col("n")), F.lit(0))).first()[0]
+        if n > max_entries:
+            raise MemoryError(f"the limit has {n} entries; the budget is {max_entries}")
+        held = label.join(pi, "node").withColumn("mass", F.sum("pi").over(Window.partitionBy("component")))
         a, b = (held.select(F.col("node").alias(n), F.col("pi").alias(f"p{n}"), "component", *(["mass"] * (n == "u"))) for n in ("u", "v"))
         found = a.join(b, "component").where("u < v").select("u", "v", (F.sqrt(F.col("pu") * F.col("pv")) / F.col("mass")).alias("weight"))
     else:
         if t != int(t) or t < 1:
             raise ValueError("t: a whole number of 1 or more")
-        p = power(step, int(t)).where("i < j")
+        p = power(step, int(t), max_entries=max_entries).where("i < j")
         found = p.join(pi.select(F.col("node").alias("i"), F.col("pi").alias("pu")), "i").join(pi.select(F.col("node").alias("j"), F.col("pi").alias("pv")), "j").select(F.col("i").alias("u"), F.col("j").alias("v"), (F.col("p") * F.sqrt(F.col("pu") / F.col("pv"))).alias("weight"))
     return found.where(F.col("weight") > threshold)
 

@@ -36,10 +36,16 @@ def hamming_edges(nodes: DataFrame) -> DataFrame:
     if sizes[0] != sizes[1]:
         raise ValueError("sequences of unequal length")
     masked = F.transform("symbols", lambda s, i: F.struct(i.alias("p"), F.xxhash64(F.transform("symbols", lambda t, j: F.when(i == j, F.lit(None)).otherwise(t))).alias("key"), s.alias("allele")))
-    keyed = nodes.select("node", "symbols", F.explode(masked).alias("m")).select("node", "symbols", "m.p", "m.key", "m.allele")
+    # Equal sequences are met as one, by their hash, and told apart again where they are linked.
+    kinds = nodes.withColumn("kind", F.xxhash64("symbols"))
+    one = kinds.groupBy("kind", "symbols").agg(F.min("node").alias("node"))
+    keyed = one.select("node", "symbols", F.explode(masked).alias("m")).select("node", "symbols", "m.p", "m.key", "m.allele")
     other = keyed.select(F.col("node").alias("y"), F.col("symbols").alias("t"), "p", "key", F.col("allele").alias("b"))
     pairs = keyed.join(other, ["p", "key"]).where((F.col("node") < F.col("y")) & (F.col("allele") != F.col("b")) & (hamming(F.col("symbols"), F.col("t")) == 1))
-    return _unit(pairs.select(F.col("node").alias("x"), "y"), sizes[0] or 1)
+    pairs = pairs.select(F.col("node").alias("x"), "y")
+    same = kinds.join(one.withColumnRenamed("node", "first"), ["kind", "symbols"]).select("node", "first")
+    every = pairs.join(same.select(F.col("first").alias("x"), F.col("node").alias("p")), "x").join(same.select(F.col("first").alias("y"), F.col("node").alias("q")), "y")
+    return _unit(every.select(F.col("p").alias("x"), F.col("q").alias("y")), sizes[0] or 1)
 
 
 def _unit(pairs: DataFrame, length: int) -> DataFrame:

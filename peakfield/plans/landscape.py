@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
+from ..functions.sequences import symbols
 from ..operators import layers as A
+from ..operators import shape as S
+from ..operators.diffusion import kernel, rbf_edges
 from ..operators.edges import hamming_edges, hamming_edges_binary, knn_edges
 from ..sources.files import load_bundle, save_bundle
 
@@ -23,24 +26,136 @@ class Landscape:
     annotations: dict[str, DataFrame] = field(default_factory=dict)
     embeddings: dict[str, DataFrame] = field(default_factory=dict)
     active: str | None = None
+    domain: str | None = None
 
     @classmethod
-    def build(cls, sequences: DataFrame, *, graph: str = "hamming", k: int = 5, vectors: DataFrame | None = None, bits: int | None = None, **layers: DataFrame) -> Landscape:
-        """Build by kind of graph: hamming, binary (codes of ``bits`` bits) or knn (of vectors)."""
+    def build(cls, sequences: DataFrame, *, graph: str = "hamming", k: int = 5, t: int | None = 1, vectors: DataFrame | None = None, bits: int | None = None, edges: DataFrame | None = None, **layers: DataFrame) -> Landscape:
+        """Build by kind of graph: hamming, binary (codes of ``bits`` bits), knn or diffusion (of
+        vectors; ``t`` steps), or given (``edges``)."""
+        if graph in ("knn", "diffusion") and vectors is None:
+            raise ValueError(f"{graph} asks for vectors")
         if graph == "hamming":
             edges = hamming_edges(sequences.select("node", "symbols"))
         elif graph == "binary":
             edges = hamming_edges_binary(sequences.select("node", "code"), bits)
         elif graph == "knn":
-            if vectors is None:
-                raise ValueError("knn asks for vectors")
             edges = knn_edges(vectors, k)
-        else:
-            raise ValueError("graph: hamming, binary or knn")
+        elif graph == "diffusion":
+            edges = kernel(vectors.select("node"), rbf_edges(vectors, k), t)
+        elif graph != "given" or edges is None:
+            raise ValueError("graph: hamming, binary, knn, diffusion or given (with edges)")
         found = cls(sequences, edges, dict(layers), embeddings={"vectors": vectors} if vectors is not None else {})
         found.active = next(iter(layers), None)
         return found
 
+    @classmethod
+    def from_graph(cls, pairs: DataFrame, sequences: DataFrame | None = None, *, weight: str | None = None, **layers: DataFrame) -> Landscape:
+        """From any table of pairs (u, v, ...); without ``sequences`` the nodes are the ends of edges.
+        A pair with an end that ``sequences`` lacks raises."""
+        edges = S.edges_of(pairs, weight)
+        ends = G.both_ways(edges.select("u", "v")).select(F.col("u").alias("node")).distinct()
+        if sequences is None:
+            sequences = ends.withColumn("symbols", F.lit(None).cast("array<string>"))
+        elif ends.join(sequences.select("node"), "node", "left_anti").head(1):
+            raise ValueError("edges between nodes that there are not")
+        return cls.build(sequences, graph="given", edges=edges, **layers)
+
+    @classmethod
+    def from_graph_annotated(cls, pairs: DataFrame, annotations: DataFrame, *, weight: str | None = None, **layers: DataFrame) -> Landscape:
+        """From pairs and annotations(node, ...); the columns ``symbols`` or ``sequence`` become
+        sequences, all others the annotation table "nodes"."""
+        columns = annotations.columns
+        seq = F.col("symbols") if "symbols" in columns else symbols(F.col("sequence")) if "sequence" in columns else F.lit(None).cast("array<string>")
+        found = cls.from_graph(pairs, annotations.select("node", seq.alias("symbols")), weight=weight, **layers)
+        return found.attach_annotation("nodes", annotations.select("node", *(c for c in columns if c not in ("node", "symbols", "sequence"))))
+
+    @classmethod
+    def from_alignment(cls, alignment: DataFrame, **options) -> Landscape:
+        """From an alignment (name, symbols): rows of one length; equal rows stay nodes of their own."""
+        sizes = alignment.agg(F.min(F.size("symbols")), F.max(F.size("symbols"))).first()
+        if sizes[0] != sizes[1]:
+            raise ValueError("rows of unequal length")
+        return cls.build(alignment.withColumnRenamed("name", "node"), **options)
+
+    def layer(self, name: str) -> DataFrame:
+        if name not in self.layers:
+            raise KeyError(name)
+        return self.layers[name]
+
+    def add(self, name: str, layer: DataFrame) -> Landscape:
+        """A layer (node, value) as it is; one that names nodes outside raises."""
+        if name in self.layers:
+            raise ValueError(f"layer {name} is there already")
+        if layer.join(self.sequences.select("node"), "node", "left_anti").head(1):
+            raise ValueError("values of nodes that there are not")
+        self.layers[name] = layer.select("node", "value")
+        self.active = self.active or name
+        return self
+
+    def modify(self, modifier: A.Modifier, layer: str | None = None, name: str = "modified") -> Landscape:
+        """A new layer, of which the modifier makes the values out of another's."""
+        source = self.layer(layer or self.active)
+        new, made = A.apply_modifier(source.withColumnRenamed("node", "row_id"), modifier, set(self.layers), name)
+        self.layers[new] = made.select(F.col("row_id").alias("node"), "value")
+        return self
+
+    def table(self) -> DataFrame:
+        """(node, a column for each layer)."""
+        return S.wide(self.layers)
+
+    def attach_annotation(self, name: str, annotation: DataFrame) -> Landscape:
+        """Annotations (node, ...), one row a node at most."""
+        if name in self.annotations:
+            raise ValueError(f"annotation {name} is there already")
+        if annotation.groupBy("node").count().where("count > 1").head(1):
+            raise ValueError("several rows for one node")
+        self.annotations[name] = annotation
+        return self
+
+    def annotation(self, name: str) -> DataFrame:
+        if name not in self.annotations:
+            raise KeyError(name)
+        return self.annotations[name]
+
+    def detach_annotation(self, name: str) -> Landscape:
+        self.annotation(name)
+        del self.annotations[name]
+        return self
+
+    def annotation_to_layer(self, name: str, column: str, layer: str, *, numeric: bool = False) -> Landscape:
+        rows = self.annotation(name).withColumnRenamed("node", "row_id")
+        made = A.to_numeric(rows, column) if numeric else A.to_category(rows, column)
+        return self.add(layer, made.withColumnRenamed("row_id", "node"))
+
+    def communities(self, name: str = "communities", resolution: float = 1.0) -> Landscape:
+        return self.attach_annotation(name, S.louvain(self.sequences.select("node"), self.edges, resolution))
+
+    def embedding(self, name: str | None = None) -> DataFrame:
+        """(node, vector) of a domain, or of the one set active; without either, of the only one."""
+        name = name or self.domain or (next(iter(self.embeddings)) if len(self.embeddings) == 1 else None)
+        if name not in self.embeddings:
+            raise KeyError(name)
+        return self.embeddings[name]
+
+    def set_domain(self, name: str) -> Landscape:
+        if name not in self.embeddings:
+            raise KeyError(name)
+        self.domain = name
+        return self
+
+    def embedding_facts(self, name: str | None = None) -> DataFrame:
+        """One row: how many vectors there are and how wide they are."""
+        return self.embedding(name).agg(F.count("*").alias("n"), F.min(F.size("vector")).alias("least_width"), F.max(F.size("vector")).alias("width"))
+
+    def sequence_of(self, node: object) -> list | None:
+        found = self.sequences.where(F.col("node") == F.lit(node)).select("symbols").head(1)
+        if not found:
+            raise KeyError(node)
+        return found[0]["symbols"]
+
+    def mutations(self) -> DataFrame:
+        return S.edge_mutations(self.edges, self.sequences)
+
     def view(self, name: str) -> Landscape:
         if name not in self.layers:
             raise KeyError(name)

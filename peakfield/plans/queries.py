@@ -527,3 +527,6 @@ def _(spark, d):
 def _(spark, d):
     w = Window.partitionBy("l_returnflag").orderBy(F.desc("l_extendedprice"), "l_orderkey", "l_linenumber", "l_partkey")
     return B.table(spark, d, "lineitem").withColumn("r", F.row_number().over(w)).where("r <= 10").select("l_returnflag", "l_orderkey", "l_linenumber", "l_extendedprice")
+
+
+from . import more_queries  # noqa: E402, F401  (they register themselves here)
