@@ -10,7 +10,8 @@ patterns, until it takes none.
 
 Defined results: a null text counts as empty and has no spans; repeated rows get equal results and
 count once each as evidence; a null doc_id is joined like any other; an empty table gives an empty
-result; other columns are ignored.
+result; other columns are ignored; very long texts are read whole, in time that grows with their
+length; of spans at one place the kind listed first comes first.
 """
 
 from __future__ import annotations
@@ -87,10 +88,10 @@ def _context(before: Column) -> Column:
 def instances(based: DataFrame) -> DataFrame:
     """(doc_id, h, start, end, found, seed, pattern): a row for each pattern before each
     identifier-like word. ``seed``: a span found by form touches the word."""
-    said = F.filter(F.when(F.col("text").rlike("[0-9@]"), find(F.col("text"), CANDIDATE)).otherwise(no_spans()), lambda s: F.length(s["found"]) >= 5)
-    words = based.select("doc_id", "h", "text", "base", F.explode(said).alias("s"))
+    said = F.filter(find(F.col("text"), CANDIDATE, before=True), lambda s: F.length(s["found"]) >= 5)
+    words = based.where(F.col("text").rlike("[0-9@]")).select("doc_id", "h", "base", F.explode(said).alias("s"))
     seed = F.exists("base", lambda b: (b["start"] < F.col("s.end")) & (b["end"] > F.col("s.start")))
-    near = _context(F.substring(F.col("text"), F.greatest(F.col("s.start") - 79, F.lit(1)), F.least(F.col("s.start"), F.lit(80))))
+    near = _context(F.col("s.before"))
     rows = words.select("doc_id", "h", "s.start", "s.end", F.regexp_replace("s.found", r"^[^\p{L}0-9+@]+|[^\p{L}0-9]+$", "").alias("found"), seed.alias("seed"), near.alias("near"))
     both = F.array_distinct(F.array("near", F.substring_index("near", " ", -1)))
     return rows.select("doc_id", "h", "start", "end", "found", "seed", F.explode(F.filter(both, lambda p: p.rlike("\\p{L}{2,}"))).alias("pattern"))

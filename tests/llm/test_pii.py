@@ -39,7 +39,7 @@ def plain(t):
 
 
 def test_forms(spark):
-    short = [(i, t) for i, t in rows() if i != 44]
+    short = rows()
     cases = [*short, *enumerate(TEXTS, 1000), (1100, " ".join(TEXTS)), (1101, "7" * 20000), (1102, "1.2.3.4 " * 300)]
     want = []
     for i, t in cases:
