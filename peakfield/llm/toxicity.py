@@ -30,7 +30,7 @@ import bisect
 import math
 import zlib
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -359,6 +359,23 @@ class Weights:
         return words, self.of_word.of(words, np.float64)
 
 
+def stretches_with(batches: Iterable[list[str]], words: list[str]) -> np.ndarray:
+    """In how many stretches of the texts each of ``words`` stands."""
+    number = {w.encode(): i for i, w in enumerate(words)}
+    known = Known(lambda w: number.get(w.strip(ENDS), -1))  # whole words alone, without their stems
+    seen = np.zeros(len(words), np.int64)
+    for batch in batches:
+        found, first = [np.zeros(0, np.int64)], 0
+        for text in batch:
+            c = known.of(split(text), np.int64)
+            at = np.flatnonzero(c >= 0)
+            found.append((first + at // STRETCH) * len(words) + c[at])
+            first += len(c) // STRETCH + 1
+        met = np.sort(np.concatenate(found))  # sorted by hand: np.unique hashes, which takes longer
+        seen += np.bincount(met[np.diff(met, prepend=-1) > 0] % len(words), minlength=len(words))
+    return seen
+
+
 def joining(docs: DataFrame, lexicon: dict[str, float], judged: set[str]) -> dict[str, float]:
     """word -> weight of the words, whether labelled rows hold them or not, that the walk's last
     step reaches from the stretches which ``lexicon`` marks; but for those judged before."""
@@ -390,17 +407,7 @@ def joining(docs: DataFrame, lexicon: dict[str, float], judged: set[str]) -> dic
         return {}
 
     def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = {t: i for i, t in enumerate(may)}
-        known = Known(lambda w: next((number.get(t, -1) for t in terms(w)[:1]), -1))
-        seen = np.zeros(len(may), np.int64)
-        for batch in batches:
-            found, first = [np.zeros(0, np.int64)], 0
-            for text in batch.column(0).to_pylist():
-                c = known.of(split(text), np.int64)
-                at = np.flatnonzero(c >= 0)
-                found.append((first + at // STRETCH) * len(may) + c[at])
-                first += len(c) // STRETCH + 1
-            seen += np.bincount(np.unique(np.concatenate(found)) % len(may), minlength=len(may))
+        seen = stretches_with((batch.column(0).to_pylist() for batch in batches), may)
         yield pa.RecordBatch.from_arrays([pa.array(may, pa.string()), pa.array(seen)], ["term", "n"])
 
     met = rows.mapInArrow(stretches, "term string, n long").groupBy("term").agg(F.sum("n").alias("met"))

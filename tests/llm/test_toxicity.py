@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 
+from peakfield.llm import toxicity
 from peakfield.llm.toxicity import Weights, communities, evidence, fit, induced_lexicon, is_held_out, joining, polarity, rates, terms, together, toxicity_digest, training_rows, weigh, without_doubles
 
 from .conftest import frame, prose, rows
@@ -116,3 +117,18 @@ def test_without_labels(spark, empty):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert toxicity_digest(empty, none).count() == 0
     assert {(r.score, r.predicted) for r in toxicity_digest(frame(spark, rows()), none).collect()} == {(0.0, 0)}
+
+
+def test_stretches_with(monkeypatch):
+    """Every stretch counts once for each of its words, and no word's stems are looked at."""
+    monkeypatch.setattr(toxicity, "terms", None)
+    texts = [(prose(i, 150 * i) + " Été, (été) x").strip() for i in range(6)] + ["", " \n"]
+    words = sorted({w.strip(".,()") for w in " ".join(texts).lower().split()} - {"x"})[::3] + ["été", "absent"]
+    want = dict.fromkeys(words, 0)
+    for text in texts:
+        ws = toxicity.split(text)
+        for lo in range(0, len(ws), toxicity.STRETCH):
+            for w in {w.strip(toxicity.ENDS).decode() for w in ws[lo : lo + toxicity.STRETCH]} & set(want):
+                want[w] += 1
+    got = toxicity.stretches_with([texts[:3], [], texts[3:]], words)
+    assert dict(zip(words, got.tolist())) == want and want["absent"] == 0
