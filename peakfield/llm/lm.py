@@ -9,6 +9,9 @@ a text is the sum over its bytes and its end.
 
 ``adaptive_bits`` is the same model learnt while it reads one text, without training.
 
+Tokens are told apart by 64 bits of their hashes. Their counts are broadcast, or mapped from sorted
+files of the shared folder where they are many; no text's words are shuffled to meet them.
+
 Defined results: a null text counts as empty and has the closing token alone; rows that repeat are
 scored each and counted each; a null doc_id hashes as empty text; an empty training set leaves the
 model uniform; an empty table gives an empty result; other columns are never read.
@@ -45,10 +48,9 @@ PART_BYTES, TASK_LEAVES = 64 << 20, 1 << 22
 #: Bytes of text that are turned into arrays at once.
 CHUNK = 1 << 19
 DISCOUNT = 0.5
-#: Bytes of the token table that may be broadcast; beyond, tokens and counts meet in a join.
-TOKEN_TABLE_BYTES = 96 << 20
-#: In that join, this many of the most frequent tokens are spread over this many keys each.
-HOT_TOKENS, SALTS = 2000, 64
+#: Bytes of the token table that may be broadcast; beyond, it lies in files of the shared folder, of
+#: about so many tokens each.
+TOKEN_TABLE_BYTES, FILE_TOKENS = 96 << 20, 1 << 22
 
 
 def is_held_out(doc_id: object, mod: int = 7, held: int = 2) -> bool:
@@ -361,6 +363,40 @@ def _local(folder: str) -> str:
     return unquote(url.path) if url.scheme else folder
 
 
+def store_tokens(tokens: DataFrame, folder: str, files: int) -> None:
+    """Write the counts of tokens (t, c) to files of the shared folder by their hashes, sorted."""
+
+    def write(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.makedirs(folder, exist_ok=True)
+        held = [(batch.column("t").to_numpy(), batch.column("c").to_numpy()) for batch in batches]
+        t, c = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(t)
+        name = f"{folder}/tokens-{key[0].as_py()}"
+        with open(mine := f"{name}.{uuid.uuid4().hex}", "wb") as f:
+            np.save(f, np.stack([t[order], c[order]]))
+        os.replace(mine, f"{name}.npy")
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64())], ["file"])
+
+    tokens.select("t", "c", F.pmod("t", F.lit(files).cast("long")).alias("file")).groupBy("file").applyInArrow(write, "file long").count()
+
+
+def count_of(table: tuple[np.ndarray, np.ndarray], h: np.ndarray) -> np.ndarray:
+    """The counts of token hashes (0: not there) in sorted hashes and their counts."""
+    at, seen = find(table[0], h)
+    out = np.zeros(len(h), np.int64)
+    out[seen] = table[1][at[seen]]
+    return out
+
+
+def stored_count_of(folder: str, files: int, h: np.ndarray) -> np.ndarray:
+    """As ``count_of``, from the files that ``store_tokens`` wrote, mapped and not read whole."""
+    out, where = np.zeros(len(h), np.int64), h % files
+    for i in np.unique(where).tolist():
+        if os.path.exists(name := f"{folder}/tokens-{i}.npy"):
+            out[where == i] = count_of(np.load(name, mmap_mode="r"), h[where == i])
+    return out
+
+
 _TRIES: dict[str, Trie] = {}
 
 
@@ -389,10 +425,13 @@ def score_digest(docs: DataFrame, *, mod: int = 7, held: int = 2) -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast((code, top, folder, parts))
     id_type = rows.schema["doc_id"].dataType.simpleString()
     small = v * 16 <= TOKEN_TABLE_BYTES
+    files = max(1, math.ceil(v / FILE_TOKENS))
     if small:
         table = tokens.select("t", "c").toArrow()
         order = np.argsort(table["t"].to_numpy())
         known = docs.sparkSession.sparkContext.broadcast((table["t"].to_numpy()[order], table["c"].to_numpy()[order]))
+    else:
+        store_tokens(tokens, folder, files)
     floor = math.log10(n + v + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -402,50 +441,14 @@ def score_digest(docs: DataFrame, *, mod: int = 7, held: int = 2) -> DataFrame:
             words = [[*data.split(), b""] for data in split]
             distinct = list({w for ws in words for w in ws})
             count, score = [len(ws) for ws in words], trie.log10(split).tolist()
-            got, base = [0] * len(words), [0.0] * len(words)
-            if small:
-                keys, cs = known.value
-                h = np.fromiter(map(_hash, distinct), np.int64, len(distinct))
-                at = np.minimum(np.searchsorted(keys, h), max(0, len(keys) - 1))
-                c = np.where(keys[at] == h, cs[at], 0) if len(keys) else np.zeros(len(h), np.int64)
-                seen = dict(zip(distinct, (c > 0).tolist()))
-                cost = dict(zip(distinct, (np.log10(c + 1) - floor).tolist()))
-                got = [sum(map(seen.__getitem__, ws)) for ws in words]
-                base = [math.fsum(map(cost.__getitem__, ws)) for ws in words]
+            h = np.fromiter(map(_hash, distinct), np.int64, len(distinct))
+            c = count_of(known.value, h) if small else stored_count_of(folder, files, h)
+            seen = dict(zip(distinct, (c > 0).tolist()))
+            cost = dict(zip(distinct, (np.log10(c + 1) - floor).tolist()))
+            got = [sum(map(seen.__getitem__, ws)) for ws in words]
+            base = [math.fsum(map(cost.__getitem__, ws)) for ws in words]
             marks = [is_held_out(i, mod, held) for i in batch.column(0).to_pylist()]
-            out = (marks, pa.bool_()), (count, pa.int64()), (got, pa.int64()), ([n] * len(words), pa.int64()), (base, pa.float64()), (score, pa.float64()), ([_key(d) for d in split], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in out)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "k"])
-
-    scored = rows.mapInArrow(run, f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, k long")
-    return scored.drop("k") if small else _with_joined_base(rows, scored, tokens, floor)
-
-
-def _key(lowered: bytes) -> int:
-    """Tells apart texts that share a doc_id."""
-    return xxhash.xxh64_intdigest(lowered, 7) >> 1
+            out = (marks, pa.bool_()), (count, pa.int64()), (got, pa.int64()), ([n] * len(words), pa.int64()), (base, pa.float64()), (score, pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in out)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-
-def _with_joined_base(rows: DataFrame, scored: DataFrame, tokens: DataFrame, floor: float) -> DataFrame:
-    """``scored`` with n_known and base_score from a join of each text's distinct words with the
-    token table. A text sends each of its words once; the words of most counts, which half of the
-    documents may hold, are salted."""
-    id_type = rows.schema["doc_id"].dataType.simpleString()
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                data = text.encode().lower()
-                n = Counter([*data.split(), b""])
-                yield pa.RecordBatch.from_arrays([pa.array([doc_id] * len(n), batch.column(0).type), pa.array([_key(data)] * len(n), pa.int64()), pa.array(list(n), pa.binary()), pa.array(list(n.values()), pa.int64())], ["d", "k", "token", "tf"])
-
-    each = rows.dropDuplicates(["doc_id", "text"]).mapInArrow(split, f"d {id_type}, k long, token binary, tf long").dropDuplicates(["d", "k", "token"])
-    zero, last = F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")
-    hot = F.broadcast(tokens.orderBy(F.desc("c"), "token").limit(HOT_TOKENS).select("token", F.lit(True).alias("hot")))
-    salted = each.join(hot, "token", "left").withColumn("salt", F.when(F.col("hot"), F.pmod("k", F.lit(SALTS))).otherwise(zero))
-    spread = tokens.select("token", "c").join(hot, "token", "left").select("token", "c", F.explode(F.when(F.col("hot"), F.sequence(zero, last)).otherwise(F.array(zero))).alias("salt"))
-    met = salted.join(spread, ["token", "salt"], "left").groupBy("d", F.col("k").alias("key")).agg(
-        F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(zero)).alias("known"),
-        F.sum(F.col("tf") * (F.log10(F.coalesce("c", zero) + 1) - F.lit(floor))).alias("base"),
-    )
-    both = scored.join(met, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("k") == F.col("key")))
-    return both.select("doc_id", "held_out", "n_tokens", F.col("known").alias("n_known"), "train_tokens", F.col("base").alias("base_score"), "score")
+    return rows.mapInArrow(run, f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

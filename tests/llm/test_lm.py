@@ -89,6 +89,18 @@ def test_base(spark, monkeypatch, limit):
     assert all(math.isfinite(r.score) and r.score < 0 for r in got)
 
 
+def test_many_tokens_are_not_shuffled(spark, monkeypatch):
+    """Beyond the broadcast, counts come from several files, and no text meets them in a join."""
+    docs = [(i, prose(i % 30, 60)) for i in range(200)]
+    want = sorted(tuple(r) for r in score_digest(frame(spark, docs)).collect())
+    monkeypatch.setattr(lm, "TOKEN_TABLE_BYTES", -1)
+    monkeypatch.setattr(lm, "FILE_TOKENS", 20, raising=False)
+    got = score_digest(frame(spark, docs))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    assert sorted(tuple(r) for r in got.collect()) == want
+
+
 def test_held_out_code_length(spark):
     docs = [(i, prose(i, 120)) for i in range(150)]
     size = {i: len(t.encode()) + 1 for i, t in docs}
