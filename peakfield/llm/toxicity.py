@@ -29,8 +29,8 @@ from __future__ import annotations
 import bisect
 import math
 import zlib
-from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -85,7 +85,21 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def terms(word: bytes) -> tuple[str, ...]:
     """The terms of a word (a stem ends with a hyphen, which no word does), the longest first."""
     bare = word.strip(ENDS).decode(errors="replace")
-    return (bare, *(f"{bare[:n]}-" for n in reversed(STEMS) if n < len(bare))) if len(bare) > 1 else ()
+    return (bare, *[f"{bare[:n]}-" for n in range(min(STEMS[-1], len(bare) - 1), STEMS[0] - 1, -1)]) if len(bare) > 1 else ()
+
+
+class Among:
+    """The terms of a word that are among ``wanted``, the longest first. Stems are few and begin as
+    their words do, so that most words are told by three bytes and looked up whole."""
+
+    def __init__(self, wanted: Iterable[str]) -> None:
+        self.wanted = frozenset(wanted)
+        self.whole = {t.encode(): (t,) for t in self.wanted if not t.endswith("-")}
+        self.begins = {t.encode()[:3] for t in self.wanted if t.endswith("-")}
+
+    def __call__(self, word: bytes) -> tuple[str, ...]:
+        bare = word.strip(ENDS)
+        return tuple([t for t in terms(word) if t in self.wanted]) if bare[:3] in self.begins else self.whole.get(bare, ())
 
 
 class Known(dict):
@@ -105,33 +119,65 @@ class Known(dict):
         return np.fromiter(map(self.__getitem__, words), kind, len(words))
 
 
+def met_terms(texts_: list[str], known: Known) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, term, twice) by the numbers that ``known`` gives a word's terms: what each text holds,
+    and whether it does so twice or more."""
+    numbers = Numbers()
+    words = [split(t) for t in texts_]
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    word = np.fromiter(map(numbers.__getitem__, chain.from_iterable(words)), np.int64, size.sum())
+    held = list(map(known.__getitem__, numbers))
+    wide = np.fromiter(map(len, held), np.int64, len(held))
+    of, begins, every = np.fromiter(chain.from_iterable(held), np.int64, wide.sum()), np.cumsum(wide) - wide, max(1, len(held))
+    pair, twice = _once(np.repeat(np.arange(len(words)) * every, size) + word, np.zeros(len(word), bool))
+    text, word = np.divmod(pair, every)
+    wide, most = wide[word], int(of.max(initial=0)) + 1
+    at = np.repeat(begins[word] - np.cumsum(wide) + wide, wide) + np.arange(wide.sum())
+    pair, twice = _once(np.repeat(text * most, wide) + of[at], np.repeat(twice, wide))
+    return *np.divmod(pair, most), twice
+
+
+def _once(key: np.ndarray, twice: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each key once, in order, and whether it is there twice or was marked so."""
+    key = np.sort(key << 1 | twice)
+    twice, key = (key & 1).astype(bool), key >> 1
+    last = np.flatnonzero(np.r_[key[1:] != key[:-1], True]) if len(key) else key  # where a marked one is, if any
+    return key[last], twice[last] | (np.diff(last, prepend=-1) > 1)
+
+
+class Numbers(dict):
+    """Gives each new key the next number."""
+
+    def __missing__(self, word: bytes | str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 def term_evidence(training: DataFrame) -> DataFrame:
     """(term, a, b, a2, b2): the toxic and the other training texts that hold each term, and those
     that hold it twice or more."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, list[int]] = {}
-        known = Known(terms)
+        number = Numbers()
+        known = Known(lambda w: tuple(map(number.__getitem__, terms(w))))
+        seen = np.zeros((4, 0), np.int64)
 
         def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), *(pa.array([v[i] for v in seen.values()], pa.int64()) for i in (1, 0, 3, 2))], ["term", "a", "b", "a2", "b2"])
+            return pa.RecordBatch.from_arrays([pa.array(list(number), pa.string()), *(pa.array(seen[i]) for i in (1, 0, 3, 2))], ["term", "a", "b", "a2", "b2"])
 
         for batch in batches:
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                held: dict[str, int] = {}
-                for w, n in Counter(split(text)).items():
-                    for x in known[w]:
-                        held[x] = held.get(x, 0) + n
-                for x, n in held.items():
-                    c = seen.get(x)
-                    if c is None:
-                        c = seen[x] = [0, 0, 0, 0]
-                    c[toxic] += 1
-                    if n > 1:
-                        c[2 + toxic] += 1
-                if len(seen) > 400_000:
-                    yield flush()
-                    seen = {}
+            toxic = np.array(batch.column(1).to_pylist(), bool)
+            text, term, twice = met_terms(batch.column(0).to_pylist(), known)
+            new = np.zeros((4, len(number)), np.int64)
+            new[:, : seen.shape[1]] = seen
+            for i in range(4):  # other and toxic texts, those that hold a term and those that do twice
+                new[i] += np.bincount(term[(toxic[text] == i % 2) & (twice | (i < 2))], minlength=len(number))
+            seen = new
+            if len(number) > 400_000:
+                yield flush()
+                number.clear()
+                known.clear()
+                seen = np.zeros((4, 0), np.int64)
         yield flush()
 
     return training.mapInArrow(count, "term string, a long, b long, a2 long, b2 long").groupBy("term").agg(*(F.sum(c).alias(c) for c in ("a", "b", "a2", "b2")))
@@ -141,7 +187,7 @@ def surroundings(rows: DataFrame, wanted: set[str]) -> DataFrame:
     """(term, around): how many distinct pairs of words stand around each term."""
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Known(lambda w: tuple(t for t in terms(w) if t in wanted))
+        known = Known(Among(wanted))
         for batch in batches:
             found: set[tuple[str, bytes]] = set()
             for text in batch.column(0).to_pylist():
@@ -204,11 +250,11 @@ def together(docs: DataFrame, words: list[str]) -> tuple[np.ndarray, int]:
     number, k = {w: i for i, w in enumerate(words)}, len(words)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n, several = np.zeros((k, k), np.int64), 0, {}
+        total, n, several, among = np.zeros((k, k), np.int64), 0, {}, Among(number)
 
         def code(word: bytes) -> int:
             """The one term of a word, a number beyond all terms for several, -1 for none."""
-            met = tuple(number[t] for t in terms(word) if t in number)
+            met = tuple(number[t] for t in among(word))
             return met[0] if len(met) == 1 else several.setdefault(met, k + len(several)) if met else -1
 
         def add(codes: list[np.ndarray], first: list[int], size: int) -> None:
@@ -346,7 +392,8 @@ class Weights:
             for t in self.bare:
                 self.found.add_word(t.decode(), 1)
             self.found.make_automaton()
-        self.of_word = Known(lambda w: next((lexicon[t] for t in terms(w) if t in lexicon), 0.0))
+        among = Among(lexicon)
+        self.of_word = Known(lambda w: next((lexicon[t] for t in among(w)), 0.0))
 
     def of(self, low: bytes) -> tuple[list[bytes], np.ndarray] | None:
         """The words of a text in lower case and their weights; None if all weights are 0."""

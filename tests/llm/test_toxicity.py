@@ -5,7 +5,7 @@ import random
 import numpy as np
 
 from peakfield.llm import toxicity
-from peakfield.llm.toxicity import Weights, communities, evidence, fit, induced_lexicon, is_held_out, joining, polarity, rates, terms, together, toxicity_digest, training_rows, weigh, without_doubles
+from peakfield.llm.toxicity import Weights, communities, evidence, fit, induced_lexicon, is_held_out, joining, polarity, rates, term_evidence, terms, together, toxicity_digest, training_rows, weigh, without_doubles
 
 from .conftest import frame, prose, rows
 
@@ -132,3 +132,34 @@ def test_stretches_with(monkeypatch):
                 want[w] += 1
     got = toxicity.stretches_with([texts[:3], [], texts[3:]], words)
     assert dict(zip(words, got.tolist())) == want and want["absent"] == 0
+
+
+def test_few_words_are_taken_apart(monkeypatch):
+    """Of words that no stem of the lexicon begins, no terms are made, and the weights stay the same."""
+    lexicon = {"vile": 0.5, "gruntz-": 0.25, "gruntzab": 1.0, "été": 0.75, "x-y": 0.1, "éco-": 0.3}
+    words = sorted({w for i in range(40) for w in prose(i, 200).encode().lower().split()} | {w.encode() for w in ["(vile)", "viler", "gruntzabc", "Gruntzab".lower(), "gru", "été!", "étés", "x-y", "x-", "écot", "éco", "a", ""]})
+    want = [next((lexicon[t] for t in terms(w) if t in lexicon), 0.0) for w in words]
+    assert sum(x > 0 for x in want) == 6
+    asked = []
+    monkeypatch.setattr(toxicity, "terms", lambda w: asked.append(w) or terms(w))
+    weights = Weights(lexicon)
+    assert [weights.of_word[w] for w in words] == want
+    assert {w for w in asked if not w.startswith(("gru".encode(), "é".encode()))} == set() and len(asked) < 0.1 * len(words)
+
+
+def test_term_evidence(spark):
+    """Texts and repeats by term, as counted one by one."""
+    r, told = random.Random(9), []
+    for i in range(120):
+        w = [r.choice(["vile", "vilest", "(day)", "days", "Été", "x"]) for _ in range(r.randrange(9))]
+        told.append((" ".join(w), r.random() < 0.3))
+    want = {}
+    for text, toxic in told:
+        held = [t for w in toxicity.split(text) for t in terms(w)]
+        for t in set(held):
+            c = want.setdefault(t, [0, 0, 0, 0])
+            c[0 if toxic else 1] += 1
+            c[2 if toxic else 3] += held.count(t) > 1
+    training = spark.createDataFrame(told, "text string, toxic boolean").repartition(3)
+    assert {x.term: [x.a, x.b, x.a2, x.b2] for x in term_evidence(training).collect()} == want
+    assert term_evidence(training.where("false")).collect() == []
