@@ -28,13 +28,13 @@ from __future__ import annotations
 
 import bisect
 import math
+import re
 import zlib
 from collections.abc import Callable, Iterable, Iterator
-from itertools import chain
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,6 +60,8 @@ ENDS = b".,;:!?\"'`()[]{}<>*#$%&|~^_-+=/\\@"
 THRESHOLD = 0.3
 #: Words whose terms a task keeps at hand.
 MEMO = 300_000
+#: Bytes of terms, at most, that one regular expression looks for; of many more it is slow.
+LOOKED_FOR = 8_000
 
 
 def is_held_out(doc_id: object) -> bool:
@@ -70,6 +72,35 @@ def split(text: str) -> list[bytes]:
     return text.encode().lower().split()
 
 
+def lowered(texts_: list[str] | pa.Array) -> pa.Array:
+    return pc.ascii_lower(texts_ if isinstance(texts_, pa.Array) else pa.array(texts_, pa.string()))
+
+
+def numbered(low: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """The words of texts in lower case, as ``split`` finds them: how many each text has, every
+    word's number, text by text, and the words by their numbers."""
+    parts = pc.ascii_split_whitespace(low)
+    each = parts.flatten().dictionary_encode()
+    number, words = each.indices.to_numpy(), each.dictionary
+    size = parts.value_lengths().to_numpy().astype(np.int64)
+    if (gap := words.index("").as_py()) >= 0:  # white space at the ends of texts
+        kept = number != gap
+        size = np.diff(np.r_[0, np.cumsum(kept)][np.r_[0, np.cumsum(size)]])
+        number = number[kept]
+    return size, number, words
+
+
+def stretch_of(size: np.ndarray) -> tuple[np.ndarray, int]:
+    """Which stretch each word stands in, by the words of each text, and how many there are."""
+    each = -(-size // STRETCH)
+    place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    return np.repeat(np.cumsum(each) - each, size) + place // STRETCH, int(each.sum())
+
+
+def bare_words(words: pa.Array) -> pa.Array:
+    return pc.ascii_trim(words, ENDS.decode())
+
+
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(text, toxic) of the labelled training rows, one for each distinct text."""
     marks = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").alias("id")).agg((F.avg("toxic") > 0.5).alias("toxic"))
@@ -97,6 +128,14 @@ class Among:
         self.whole = {t.encode(): (t,) for t in self.wanted if not t.endswith("-")}
         self.begins = {t.encode()[:3] for t in self.wanted if t.endswith("-")}
 
+    def values(self, words: pa.Array, find: Known, kind: type, otherwise: float) -> np.ndarray:
+        """What ``find`` says of each word; ``otherwise`` of those that surely have no term here."""
+        bare, out = bare_words(words).cast(pa.binary()), np.full(len(words), otherwise, kind)
+        known = pc.is_in(bare, value_set=pa.array(list(self.whole), pa.binary()))
+        maybe = pc.or_(known, pc.is_in(pc.binary_slice(bare, 0, 3), value_set=pa.array(list(self.begins), pa.binary())))
+        out[maybe.to_numpy(zero_copy_only=False)] = find.of(words.filter(maybe).cast(pa.binary()).to_pylist(), kind)
+        return out
+
     def __call__(self, word: bytes) -> tuple[str, ...]:
         bare = word.strip(ENDS)
         return tuple([t for t in terms(word) if t in self.wanted]) if bare[:3] in self.begins else self.whole.get(bare, ())
@@ -119,22 +158,26 @@ class Known(dict):
         return np.fromiter(map(self.__getitem__, words), kind, len(words))
 
 
-def met_terms(texts_: list[str], known: Known) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, term, twice) by the numbers that ``known`` gives a word's terms: what each text holds,
-    and whether it does so twice or more."""
-    numbers = Numbers()
-    words = [split(t) for t in texts_]
-    size = np.fromiter(map(len, words), np.int64, len(words))
-    word = np.fromiter(map(numbers.__getitem__, chain.from_iterable(words)), np.int64, size.sum())
-    held = list(map(known.__getitem__, numbers))
-    wide = np.fromiter(map(len, held), np.int64, len(held))
-    of, begins, every = np.fromiter(chain.from_iterable(held), np.int64, wide.sum()), np.cumsum(wide) - wide, max(1, len(held))
-    pair, twice = _once(np.repeat(np.arange(len(words)) * every, size) + word, np.zeros(len(word), bool))
+def met_terms(low: pa.Array, toxic: np.ndarray) -> pa.Table:
+    """(term, a, b, a2, b2) as ``term_evidence`` has them, of some texts in lower case."""
+    size, number, words = numbered(low)
+    every = max(1, len(words))
+    pair, again = _once(np.repeat(np.arange(len(low)) * every, size) + number, np.zeros(len(number), bool))
     text, word = np.divmod(pair, every)
-    wide, most = wide[word], int(of.max(initial=0)) + 1
-    at = np.repeat(begins[word] - np.cumsum(wide) + wide, wide) + np.arange(wide.sum())
-    pair, twice = _once(np.repeat(text * most, wide) + of[at], np.repeat(twice, wide))
-    return *np.divmod(pair, most), twice
+    bare, out = bare_words(words), []
+    long = pc.utf8_length(bare).to_numpy()
+    for n in (0, *STEMS):  # 0: whole words
+        has = long > max(n, 1)
+        part = bare.filter(pa.array(has))
+        part = (pc.binary_join_element_wise(pc.utf8_slice_codeunits(part, 0, n), "-", "") if n else part).dictionary_encode()
+        term, most = np.full(len(words), -1), max(1, len(part.dictionary))
+        term[has] = part.indices.to_numpy()
+        of = term[word]
+        key, twice = _once((text * most + of)[of >= 0], again[of >= 0])
+        held, of = np.divmod(key, most)
+        marked = toxic[held]
+        out.append(pa.table([part.dictionary, *(pa.array(np.bincount(of[x], minlength=len(part.dictionary))) for x in (marked, ~marked, marked & twice, ~marked & twice))], ["term", "a", "b", "a2", "b2"]))
+    return pa.concat_tables(out)
 
 
 def _once(key: np.ndarray, twice: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -145,40 +188,26 @@ def _once(key: np.ndarray, twice: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key[last], twice[last] | (np.diff(last, prepend=-1) > 1)
 
 
-class Numbers(dict):
-    """Gives each new key the next number."""
-
-    def __missing__(self, word: bytes | str) -> int:
-        self[word] = n = len(self)
-        return n
-
 
 def term_evidence(training: DataFrame) -> DataFrame:
     """(term, a, b, a2, b2): the toxic and the other training texts that hold each term, and those
     that hold it twice or more."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = Numbers()
-        known = Known(lambda w: tuple(map(number.__getitem__, terms(w))))
-        seen = np.zeros((4, 0), np.int64)
+        parts: list[pa.Table] = []
 
-        def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(number), pa.string()), *(pa.array(seen[i]) for i in (1, 0, 3, 2))], ["term", "a", "b", "a2", "b2"])
+        def merged() -> pa.Table:
+            every = pa.concat_tables(parts).group_by("term", use_threads=False).aggregate([(c, "sum") for c in ("a", "b", "a2", "b2")])
+            return every.select(["term", "a_sum", "b_sum", "a2_sum", "b2_sum"]).rename_columns(["term", "a", "b", "a2", "b2"])
 
         for batch in batches:
-            toxic = np.array(batch.column(1).to_pylist(), bool)
-            text, term, twice = met_terms(batch.column(0).to_pylist(), known)
-            new = np.zeros((4, len(number)), np.int64)
-            new[:, : seen.shape[1]] = seen
-            for i in range(4):  # other and toxic texts, those that hold a term and those that do twice
-                new[i] += np.bincount(term[(toxic[text] == i % 2) & (twice | (i < 2))], minlength=len(number))
-            seen = new
-            if len(number) > 400_000:
-                yield flush()
-                number.clear()
-                known.clear()
-                seen = np.zeros((4, 0), np.int64)
-        yield flush()
+            parts.append(met_terms(lowered(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False).astype(bool)))
+            if sum(map(len, parts)) > 2_000_000:
+                parts = [merged()]
+                if len(parts[0]) > 800_000:
+                    yield from parts.pop().combine_chunks().to_batches()
+        if parts:
+            yield from merged().combine_chunks().to_batches()
 
     return training.mapInArrow(count, "term string, a long, b long, a2 long, b2 long").groupBy("term").agg(*(F.sum(c).alias(c) for c in ("a", "b", "a2", "b2")))
 
@@ -225,8 +254,9 @@ def without_doubles(rated: list[tuple[str, int, float]]) -> list[str]:
     return [t for t, g in kept if not any(gains.get(f"{t[:n]}-", -1.0) >= g for n in STEMS if n < len(t.rstrip("-")))]
 
 
-def vocabulary(training: DataFrame, toxic: int, clean: int) -> tuple[list[str], list[str]]:
-    """The toxic seeds, and the frequent words that are none."""
+def vocabulary(training: DataFrame, toxic: int, clean: int) -> tuple[list[str], list[str], DataFrame]:
+    """The toxic seeds, and the frequent words that are none; (term, n): the training texts that hold
+    each word."""
     share = toxic / max(1, toxic + clean)
     rated = term_evidence(training).where((F.col("a") + F.col("b") >= LEAST_DOCS)).select("term", "a", "b", "a2", "b2")
     rated = cut(rated.withColumn("g", F.greatest(_gain(F.col("a"), F.col("b"), share), _gain(F.col("a2"), F.col("b2"), share))))
@@ -234,14 +264,15 @@ def vocabulary(training: DataFrame, toxic: int, clean: int) -> tuple[list[str],
     maybe = rated.where((F.col("g") > chance) & (F.col("a") >= max(LEAST_DOCS, SEED_SHARE * toxic))).select("term", "a", "g").collect()
     names = without_doubles(sorted(((r["term"], r["a"], r["g"]) for r in maybe), key=lambda x: (-x[2], x[0])))
     often = rated.where((F.col("a") + F.col("b") >= max(LEAST_DOCS, FREQUENT * (toxic + clean))) & (F.col("g") <= chance) & ~F.col("term").endswith("-")).select("term").collect()
+    held = rated.where(~F.col("term").endswith("-")).select("term", (F.col("a") + F.col("b")).alias("n"))
     if not names:
-        return [], []
+        return [], [], held
     close = rated.join(surroundings(training.where("toxic"), set(names)), "term").where(F.col("around") >= LEAST_DOCS)
     for c in ("a", "a2"):
         close = close.withColumn(c, F.least(c, "around"))
     close = close.withColumn("g", F.greatest(_gain(F.col("a"), F.col("b"), share), _gain(F.col("a2"), F.col("b2"), share)))
     seeds = close.where(F.col("g") > chance).select("term", "g").collect()
-    return [r["term"] for r in sorted(seeds, key=lambda r: (-r["g"], r["term"]))], sorted(r["term"] for r in often)
+    return [r["term"] for r in sorted(seeds, key=lambda r: (-r["g"], r["term"]))], sorted(r["term"] for r in often), held
 
 
 def together(docs: DataFrame, words: list[str]) -> tuple[np.ndarray, int]:
@@ -257,11 +288,9 @@ def together(docs: DataFrame, words: list[str]) -> tuple[np.ndarray, int]:
             met = tuple(number[t] for t in among(word))
             return met[0] if len(met) == 1 else several.setdefault(met, k + len(several)) if met else -1
 
-        def add(codes: list[np.ndarray], first: list[int], size: int) -> None:
+        def add(row: np.ndarray, codes: np.ndarray, size: int) -> None:
             x = np.zeros((size, k + len(several)), np.float32)
-            for c, lo in zip(codes, first):
-                at = np.flatnonzero(c >= 0)
-                x[lo + at // STRETCH, c[at]] = 1
+            x[row, codes] = 1
             for met, column in several.items():
                 x[:, list(met)] = np.maximum(x[:, list(met)], x[:, [column]])
             x = x[:, :k]
@@ -269,16 +298,13 @@ def together(docs: DataFrame, words: list[str]) -> tuple[np.ndarray, int]:
 
         place = Known(code)
         for batch in batches:
-            codes, first, size = [], [], 0
-            for text in batch.column(0).to_pylist():
-                ws = split(text)
-                codes.append(place.of(ws, np.int32))
-                first.append(size)
-                size += -(-len(ws) // STRETCH)
-                if size >= 1024:
-                    add(codes, first, size)
-                    codes, first, n, size = [], [], n + size, 0
-            add(codes, first, size)
+            sizes, of, words_ = numbered(lowered(batch.column(0)))
+            codes = among.values(words_, place, np.int32, -1)[of]
+            row, size = stretch_of(sizes)
+            row, codes = row[codes >= 0], codes[codes >= 0]
+            for lo in range(0, size, 1024):
+                i, j = np.searchsorted(row, (lo, lo + 1024))
+                add(row[i:j] - lo, codes[i:j], min(1024, size - lo))
             n += size
         at = np.flatnonzero(np.triu(total))
         packed = zlib.compress(at.astype("<u4").tobytes() + total.reshape(-1)[at].astype("<i8").tobytes(), 1)
@@ -380,52 +406,53 @@ def count_words(low: bytes) -> int:
     return int((gap[:-1] & ~gap[1:]).sum()) + int(len(gap) > 0 and not gap[0])
 
 
+def beginning_with(bare: list[str]) -> str | None:
+    """An expression for texts, in lower case, with a word that begins with one of ``bare``; None if
+    these are too many."""
+    if not bare or sum(len(t.encode()) for t in bare) > LOOKED_FOR:
+        return None
+    return rf"(?:\A|[\x09-\x0d {re.escape(ENDS.decode())}])(?:{'|'.join(map(re.escape, bare))})"
+
+
 class Weights:
     """The weights of words, and a quick look at which texts have any."""
 
     def __init__(self, lexicon: dict[str, float]) -> None:
-        self.bare = sorted({t.rstrip("-").encode() for t in lexicon})
-        # Searches one by one are faster for few terms; an automaton takes as long for any number.
-        self.found = None
-        if len(self.bare) > 64:
-            self.found = ahocorasick.Automaton()
-            for t in self.bare:
-                self.found.add_word(t.decode(), 1)
-            self.found.make_automaton()
-        among = Among(lexicon)
-        self.of_word = Known(lambda w: next((lexicon[t] for t in among(w)), 0.0))
-
-    def of(self, low: bytes) -> tuple[list[bytes], np.ndarray] | None:
-        """The words of a text in lower case and their weights; None if all weights are 0."""
-        if self.found is None:
-            if not any(t in low for t in self.bare):
-                return None
-        elif next(self.found.iter(low.decode()), None) is None:
-            return None
-        words = low.split()
-        return words, self.of_word.of(words, np.float64)
-
-
-def stretches_with(batches: Iterable[list[str]], words: list[str]) -> np.ndarray:
+        self.begin = beginning_with(sorted({t.rstrip("-") for t in lexicon}))
+        self.among = Among(lexicon)
+        self.of_word = Known(lambda w: next((lexicon[t] for t in self.among(w)), 0.0))
+
+    def look(self, low: pa.Array) -> pa.Array:
+        """Which texts in lower case are not sure to have no weight."""
+        return pc.match_substring_regex(low, self.begin) if self.begin else pa.array([True] * len(low), pa.bool_())
+
+    def of(self, low: pa.Array) -> list[np.ndarray]:
+        """The weights of each text's words."""
+        size, number, words = numbered(low)
+        weight = self.among.values(words, self.of_word, np.float64, 0.0)[number]
+        return np.split(weight, np.cumsum(size)[:-1]) if len(low) else []
+
+
+def stretches_with(batches: Iterable[list[str] | pa.Array], words: list[str]) -> np.ndarray:
     """In how many stretches of the texts each of ``words`` stands."""
-    number = {w.encode(): i for i, w in enumerate(words)}
-    known = Known(lambda w: number.get(w.strip(ENDS), -1))  # whole words alone, without their stems
-    seen = np.zeros(len(words), np.int64)
+    seen, wanted, begin = np.zeros(len(words), np.int64), pa.array(words, pa.string()), beginning_with(words)
     for batch in batches:
-        found, first = [np.zeros(0, np.int64)], 0
-        for text in batch:
-            c = known.of(split(text), np.int64)
-            at = np.flatnonzero(c >= 0)
-            found.append((first + at // STRETCH) * len(words) + c[at])
-            first += len(c) // STRETCH + 1
-        met = np.sort(np.concatenate(found))  # sorted by hand: np.unique hashes, which takes longer
+        low = lowered(batch)
+        if begin:
+            low = low.filter(pc.match_substring_regex(low, begin))
+        size, number, each = numbered(low)
+        of = pc.index_in(bare_words(each), value_set=wanted).fill_null(-1).to_numpy()[number]  # whole words alone, without their stems
+        met = (stretch_of(size)[0] * len(words) + of)[of >= 0]
+        met = np.sort(met)  # sorted by hand: np.unique hashes, which takes longer
         seen += np.bincount(met[np.diff(met, prepend=-1) > 0] % len(words), minlength=len(words))
     return seen
 
 
-def joining(docs: DataFrame, lexicon: dict[str, float], judged: set[str]) -> dict[str, float]:
+def joining(docs: DataFrame, lexicon: dict[str, float], judged: set[str], held: DataFrame | None = None) -> dict[str, float]:
     """word -> weight of the words, whether labelled rows hold them or not, that the walk's last
-    step reaches from the stretches which ``lexicon`` marks; but for those judged before."""
+    step reaches from the stretches which ``lexicon`` marks; but for those judged before. ``held``:
+    (term, n), in how many texts a word stands at least; where so many stretches are too many to be
+    marked often enough, no more of them are counted."""
     rows = texts(docs).select("text")
     # As many stretches, and surroundings, as would do if all of them were marked.
     least = math.ceil(SURE * SURE * JOINS / (1 - JOINS))
@@ -434,8 +461,10 @@ def joining(docs: DataFrame, lexicon: dict[str, float], judged: set[str]) -> dic
         weights = Weights(lexicon)
         for batch in batches:
             seen: dict[tuple[bytes, int], int] = {}
-            for text in batch.column(0).to_pylist():
-                ws, w = weights.of(text.encode().lower()) or ([], ())
+            low = lowered(batch.column(0))
+            low = low.filter(weights.look(low))
+            for text, w in zip(low.cast(pa.binary()).to_pylist(), weights.of(low)):
+                ws = text.split() if w.any() else []
                 for lo in range(0, len(ws), STRETCH):
                     if w[lo : lo + STRETCH].sum() >= MARKED:
                         here = [b"", *ws[lo : lo + STRETCH], b""]
@@ -448,13 +477,17 @@ def joining(docs: DataFrame, lexicon: dict[str, float], judged: set[str]) -> dic
 
     around = rows.mapInArrow(marked, "term string, pair long, n long").groupBy("term", "pair").agg(F.sum("n").alias("n")).groupBy("term").agg(F.count("*").alias("around"), F.sum("n").alias("marked"))
     near = cut(around.where((F.col("around") >= least) & (F.col("marked") >= least)))
-    may = {r["term"] for r in near.select("term").collect()} - judged
+    some = near
+    if held is not None:  # ``low`` below is JOINS or more just if a word is marked so often, or more
+        enough = JOINS * F.col("n") + SURE * F.sqrt(JOINS * (1 - JOINS) * F.col("n"))
+        some = near.join(held, "term", "left").where(F.col("n").isNull() | (F.col("marked") >= enough * (1 - 1e-9)))
+    may = {r["term"] for r in some.select("term").collect()} - judged
     may = sorted(t for t in may if not any(u in lexicon for u in terms(t.encode())))
     if not may:
         return {}
 
     def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = stretches_with((batch.column(0).to_pylist() for batch in batches), may)
+        seen = stretches_with((batch.column(0) for batch in batches), may)
         yield pa.RecordBatch.from_arrays([pa.array(may, pa.string()), pa.array(seen)], ["term", "n"])
 
     met = rows.mapInArrow(stretches, "term string, n long").groupBy("term").agg(F.sum("n").alias("met"))
@@ -486,25 +519,28 @@ def fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def induced_lexicon(docs: DataFrame, training: DataFrame) -> dict[str, float]:
     """term -> weight of the terms that belong to the lexicon: polarity, or share of marked
     stretches at least."""
-    sizes = {r["toxic"]: r["n"] for r in training.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    if not sizes.get(True):
+    n, toxic, distinct = training.agg(F.count("*"), F.sum(F.col("toxic").cast("int")), F.count_distinct(F.xxhash64("text"))).first()
+    if not toxic:
         return {}
-    seeds, often = vocabulary(training, sizes[True], sizes.get(False, 0))
+    seeds, often, held = vocabulary(training, toxic, n - toxic)
     if not seeds:
         return {}
-    both, n = together(docs, [*seeds, *often])
-    p = polarity(both, n, len(seeds))
+    both, stretches = together(docs, [*seeds, *often])
+    p = polarity(both, stretches, len(seeds))
     lexicon = {w: float(x) for w, x, m in zip(seeds, p, np.diag(both)) if x >= LEXICON and m >= LEAST_DOCS}
-    return lexicon | joining(docs, lexicon, {*seeds, *often}) if lexicon else {}
+    # Where rows that repeat a doc_id are learnt from twice, texts are no lower bound of stretches.
+    return lexicon | joining(docs, lexicon, {*seeds, *often}, held if n == distinct else None) if lexicon else {}
 
 
-def weigh(texts_: list[str], weights: Weights) -> np.ndarray:
+def weigh(texts_: list[str] | pa.Array, weights: Weights) -> np.ndarray:
     """The words of each text and the weights of its lexicon words, added up."""
-    out = np.zeros((len(texts_), 2))
-    for i, text in enumerate(texts_):
-        low = text.encode().lower()
-        found = weights.of(low)
-        out[i] = (count_words(low), 0) if found is None else (len(found[0]), found[1].sum())
+    low = lowered(texts_)
+    some = weights.look(low)
+    found = iter(weights.of(low.filter(some)))
+    out = np.zeros((len(low), 2))
+    for i, (text, may) in enumerate(zip(low.cast(pa.binary()).to_pylist(), some.to_pylist())):
+        w = next(found) if may else None
+        out[i] = (count_words(text), 0) if w is None else (len(w), w.sum())
     return out
 
 
@@ -534,7 +570,7 @@ def toxicity_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = Weights(lexicon)
         for batch in batches:
-            x = weigh(batch.column(1).to_pylist(), weights)
+            x = weigh(batch.column(1), weights)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x[:, 0]), pa.array(x[:, 1])], ["y", "n", "x"])
 
     if lexicon:
@@ -548,7 +584,7 @@ def toxicity_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = Weights(lexicon)
         for batch in batches:
-            x = weigh(batch.column(1).to_pylist(), weights)
+            x = weigh(batch.column(1), weights)
             score = 1 / (1 + np.exp(-np.clip(beta[0] + evidence(x, high, low) @ beta[1:], -700, 700))) if lexicon else np.zeros(len(x))
             held = [is_held_out(i) for i in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held, pa.bool_()), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])

@@ -163,3 +163,53 @@ def test_term_evidence(spark):
     training = spark.createDataFrame(told, "text string, toxic boolean").repartition(3)
     assert {x.term: [x.a, x.b, x.a2, x.b2] for x in term_evidence(training).collect()} == want
     assert term_evidence(training.where("false")).collect() == []
+
+
+def test_numbered_as_split():
+    """Words by Arrow are those of ``split``, and stretches begin anew with each text."""
+    texts = ["", " \n\t", " a  B\x0b\x0cc\r\nd ", "\x1c x\x85\x1fy É z\u2003q", "a", "b " * 450, "  end"]
+    size, number, words = toxicity.numbered(toxicity.lowered(texts))
+    words = [w.encode() for w in words.to_pylist()]
+    assert [words[i] for i in number] == [w for t in texts for w in toxicity.split(t)] and size.tolist() == [len(toxicity.split(t)) for t in texts]
+    row, n = toxicity.stretch_of(size)
+    assert n == 1 + 1 + 1 + 3 + 1 and np.bincount(row).tolist() == [4, 4, 1, 200, 200, 50, 1]
+    assert [len(x) for x in toxicity.numbered(toxicity.lowered([]))] == [0, 0, 0]
+
+
+def test_few_words_are_looked_up(monkeypatch):
+    """Only words that may have a term are looked up one by one, whether texts are looked at or not."""
+    weights = Weights({"vile": 0.5, "gruntz-": 0.25})
+    texts = [prose(i, 200) + " (Vile) gruntzer" for i in range(20)]
+    assert weigh(texts, weights).tolist() == [[len(t.split()), 0.75] for t in texts]
+    assert b"(vile)" in weights.of_word and len(weights.of_word) < 20
+    few, words = toxicity.stretches_with([texts], ["vile", "gruntzer"]), ["none here", "day"]
+    monkeypatch.setattr(toxicity, "LOOKED_FOR", 0)
+    assert (weigh([*texts, *words], Weights({"vile": 0.5, "gruntz-": 0.25})) == [*([len(t.split()), 0.75] for t in texts), [2, 0], [1, 0]]).all()
+    assert few.tolist() == toxicity.stretches_with([texts, words], ["vile", "gruntzer"]).tolist() == [20, 20]
+
+
+def test_joining_counts_what_may_join(spark):
+    """Words known from too many texts to be marked often enough are not counted; the result is the same."""
+    r, docs = random.Random(6), []
+    for i in range(230):
+        w = prose(7000 + i, 40).split() + (["vile", "foul", "nasty", "rotten" if i % 2 else "common"] if i < 80 else ["common"])
+        r.shuffle(w)
+        docs.append((i, " ".join(w)))
+    docs, lexicon = frame(spark, docs), {"vile": 0.9, "foul": 0.9, "nasty": 0.9}
+    held = term_evidence(docs.selectExpr("text", "false as toxic")).selectExpr("term", "a + b as n")
+    every = joining(docs, lexicon, set())
+    assert "rotten" in every and "common" not in every and joining(docs, lexicon, set(), held) == every
+    assert "rotten" not in joining(docs, lexicon, set(), held.selectExpr("term", "n + 1000 as n"))
+
+
+def test_repeated_ids_bound_nothing(spark, monkeypatch):
+    """Where a doc_id has several texts, these are learnt from more often than they are there."""
+    given = []
+    monkeypatch.setattr(toxicity, "joining", lambda docs, lexicon, judged, held=None: given.append(held) or {})
+    pairs, marks = planted()
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    taught = next(i for i, _ in pairs if not is_held_out(i))
+    for docs in (pairs, [*pairs, (taught, "another text")]):
+        docs = frame(spark, docs)
+        induced_lexicon(docs, training_rows(docs, labels))
+    assert given[0] is not None and given[1] is None
