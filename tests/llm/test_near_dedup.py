@@ -1,6 +1,7 @@
 """Near-duplicate groups against all pairs in plain Python."""
 
 import random
+import sys
 from collections import Counter
 
 import numpy as np
@@ -63,6 +64,23 @@ def test_without_broadcast(spark, monkeypatch):
     assert Counter(tuple(x)[:3] for x in got) == brute(docs, 3, 85)
 
 
+def test_few_files(spark, monkeypatch):
+    """What is left of many partitions of sets and links is written to few files."""
+    cut, files = N.cut, {}
+
+    def counted(df):
+        out = cut(df)
+        files.setdefault(sys._getframe(1).f_code.co_name, []).append(out.rdd.getNumPartitions())
+        return out
+
+    monkeypatch.setattr(N, "cut", counted)
+    pairs = spark.createDataFrame([(i, i + 1) for i in range(0, 200, 2)], "a long, b long").repartition(12)
+    assert components(pairs).count() >= 100 and max(files["components"]) <= 2
+    docs = families()[:60]
+    got = near_components(frame(spark, docs).repartition(12), k=3, threshold=0.85).collect()
+    assert Counter(tuple(x)[:3] for x in got) == brute(docs, 3, 85) and max(files["confirmed"]) <= 2
+
+
 def test_near_dedup_keeps_columns(spark):
     docs = frame(spark, [*families()[:28], (1, "alone " * 3)])
     out = near_dedup(docs, k=3, threshold=0.85)
