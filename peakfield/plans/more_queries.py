@@ -31,7 +31,7 @@ def _(spark, d):
 
 @query("graph_leaves", f"WITH {PARTS} SELECT node FROM (SELECT u AS node FROM part_edges UNION ALL SELECT v FROM part_edges) GROUP BY 1 HAVING count(*) = 1")
 def _(spark, d):
-    return S.leaves(B.part_graph(spark, d)[1])
+    return K.leaves(*B.part_kinds(spark, d))
 
 
 @query("edge_mutations", f"WITH {PARTS} SELECT a.node AS u, b.node AS v, a.s || a.i || b.s AS mutation FROM keys a JOIN keys b ON a.i = b.i AND a.k = b.k AND a.s <> b.s AND a.node < b.node")
