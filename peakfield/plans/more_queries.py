@@ -26,7 +26,7 @@ def _supply(spark, d):
 
 @query("total_weight", f"WITH {PARTS} SELECT count(*)::DOUBLE AS total, count(*) AS n_edges FROM part_edges")
 def _(spark, d):
-    return S.total_weight(B.part_graph(spark, d)[1])
+    return K.total_weight(*B.part_kinds(spark, d))
 
 
 @query("graph_leaves", f"WITH {PARTS} SELECT node FROM (SELECT u AS node FROM part_edges UNION ALL SELECT v FROM part_edges) GROUP BY 1 HAVING count(*) = 1")
