@@ -24,8 +24,10 @@ def mean(values: Column) -> Column:
 
 def spread(values: Column) -> Column:
     """The population standard deviation of replicates."""
-    m = mean(values)
-    return F.sqrt(_total(F.transform(replicates(values), lambda x: (x - m) * (x - m))) / F.size(replicates(values)))
+    around = lambda m: F.transform(replicates(values), lambda x: (x - m) * (x - m))
+    # A lambda's argument is computed once; the mean itself would be, anew, for every replicate.
+    square = F.get(F.transform(F.array(mean(values)), lambda m: _total(around(m))), F.lit(0))
+    return F.sqrt(square / F.size(replicates(values)))
 
 
 def padded(values: Column, width: int) -> Column:
