@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from peakfield.functions import layers as LF
+from peakfield.operators import stats as T
 from peakfield.plans.queries import QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -23,3 +24,19 @@ def test_spread_of_a_long_list(spark):
 
 def test_replicates_are_not_listed(spark):
     assert "collect_list" not in plan_of(QUERIES["replicate_spread"](spark, DATA))
+
+
+def test_no_sketch_for_every_part(spark):
+    plan = plan_of(QUERIES["approximate_counts"](spark, DATA))
+    assert not any("approx" in line and "l_partkey" in line.split("functions")[0] for line in plan.splitlines() if "Aggregate" in line)
+    assert "partial_median" not in plan and "partial_percentile(" not in plan
+
+
+def test_medians_are_exact(spark):
+    rng = np.random.default_rng(3)
+    sets = {"odd": rng.normal(size=5001), "even": rng.normal(size=5000), "ties": rng.integers(0, 3, 3000).astype(float), "one": [4.0], "two": [1.0, 2.0], "same": [7.0] * 999}
+    sets["nans"] = [*rng.normal(size=70).tolist(), *[float("nan")] * 30]
+    rows = [(g, float(x)) for g, xs in sets.items() for x in xs] + [("one", None), (None, 3.0)]
+    samples = spark.createDataFrame(rows, "group string, value double")
+    want = dict(map(tuple, samples.groupBy("group").agg(F.median("value")).collect()))
+    assert dict(map(tuple, T.medians(samples).collect())) == pytest.approx(want, rel=1e-15)
