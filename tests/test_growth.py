@@ -40,3 +40,19 @@ def test_medians_are_exact(spark):
     samples = spark.createDataFrame(rows, "group string, value double")
     want = dict(map(tuple, samples.groupBy("group").agg(F.median("value")).collect()))
     assert dict(map(tuple, T.medians(samples).collect())) == pytest.approx(want, rel=1e-15)
+
+
+def test_permutations_are_those_of_a_full_sort(spark):
+    rng = np.random.default_rng(4)
+    data = [("a" if i % 3 else "b", float(x)) for i, x in enumerate(rng.normal(size=600))] + [("c", 1e9), ("a", None)]
+    samples = spark.createDataFrame(data, "group string, value double").coalesce(1)
+    got = T.permutation_test(samples, "a", "b", n=50, seed=2)
+    two = samples.where("group in ('a', 'b')").withColumn("row", F.monotonically_increasing_id())
+    drawn = two.select("row", "value", F.explode(F.sequence(F.lit(1), F.lit(50))).alias("i")).withColumn("h", F.xxhash64("row", "i", F.lit(2))).toPandas()
+    x = two.toPandas()
+    of = lambda g: x.value[x.group == g].mean()
+    na, observed, extreme = (x.group == "a").sum(), of("a") - of("b"), 0
+    for _, p in drawn.sort_values(["i", "h", "row"]).groupby("i"):
+        extreme += abs(p.value[:na].mean() - p.value[na:].mean()) >= abs(observed)
+    row = got.first()
+    assert row.extreme_count == extreme > 0 and row.observed == pytest.approx(observed)
