@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -11,6 +13,10 @@ from .graph import both_ways, cut, undirected
 from .spectral import by_component
 
 
+#: Rows that a task sorts, about, and pieces of a node's edges that are sorted apart.
+TASK_ROWS, PIECES = 1 << 19, 16
+
+
 def total_weight(edges: DataFrame, column: str = "weight") -> DataFrame:
     """One row: the sum of a column over all edges (0 without any), and their number."""
     return edges.agg(F.coalesce(F.sum(F.col(column).cast("double")), F.lit(0.0)).alias("total"), F.count("*").alias("n_edges"))
@@ -68,12 +74,18 @@ def told_mutations(rows: DataFrame, p: Column, q: Column) -> DataFrame:
 
 def at_most_k_edges(edges: DataFrame, k: int) -> DataFrame:
     """Edges that are among the first ``k`` of both their ends, by falling weight, then by the other
-    end. Ranks need a sort by node; adaptive execution can't split one node's edges, so a node of
-    more edges than fit a task spills there."""
-    order = Window.partitionBy("u").orderBy(F.desc("weight"), "v")
-    first = both_ways(edges.select("u", "v", "weight")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= k)
-    pairs = first.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).groupBy("u", "v").agg(F.count("*").alias("n")).where("n = 2").select("u", "v")
-    return edges.join(pairs, ["u", "v"], "left_semi")
+    end. Ranks need sorts, of about TASK_ROWS in a task: first within PIECES of each node's edges, so
+    that a node of very many is not sorted in one task, then of what these leave. Edges are counted
+    first, as adaptive execution would join small partitions into few large ones."""
+    tasks = max(edges.sparkSession.sparkContext.defaultParallelism, math.ceil(2 * edges.count() / TASK_ROWS))
+    order = [F.desc("weight"), "v"]
+    both = both_ways(edges).withColumn("piece", F.pmod(F.xxhash64("v"), F.lit(PIECES))).repartition(tasks, "u", "piece")
+    near = both.withColumn("r", F.row_number().over(Window.partitionBy("u", "piece").orderBy(*order))).where(F.col("r") <= k)
+    near = near.drop("r", "piece").repartition(tasks, "u")
+    first = near.withColumn("r", F.row_number().over(Window.partitionBy("u").orderBy(*order))).where(F.col("r") <= k)
+    rest = [c for c in edges.columns if c not in ("u", "v")]
+    pairs = first.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), *rest)
+    return pairs.groupBy("u", "v").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in rest)).where("n = 2").select(*edges.columns)
 
 
 def louvain(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0) -> DataFrame:

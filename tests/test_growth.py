@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from peakfield.functions import layers as LF
+from peakfield.operators import shape as S
 from peakfield.operators import stats as T
 from peakfield.plans.queries import QUERIES
 
@@ -56,3 +57,20 @@ def test_permutations_are_those_of_a_full_sort(spark):
         extreme += abs(p.value[:na].mean() - p.value[na:].mean()) >= abs(observed)
     row = got.first()
     assert row.extreme_count == extreme > 0 and row.observed == pytest.approx(observed)
+
+
+def test_sorts_of_edges_are_of_one_size(spark, monkeypatch):
+    monkeypatch.setattr(S, "TASK_ROWS", 100)
+    rng = np.random.default_rng(6)
+    pairs = {(0, v) for v in range(1, 400)} | {(int(min(p)), int(max(p))) for p in rng.integers(0, 400, (900, 2)) if p[0] != p[1]}
+    rows = [(u, v, float(rng.integers(0, 6)), f"{u}-{v}") for u, v in sorted(pairs)]
+    got = S.at_most_k_edges(spark.createDataFrame(rows, "u long, v long, weight double, tag string"), 3)
+    near = {}
+    for u, v, w, tag in rows:
+        near.setdefault(u, []).append((-w, v, tag))
+        near.setdefault(v, []).append((-w, u, tag))
+    kept = [tag for x in near.values() for _, _, tag in sorted(x)[:3]]
+    assert sorted(r.tag for r in got.collect()) == sorted(t for t in set(kept) if kept.count(t) == 2)
+    # As many partitions as rows ask for, whatever adaptive execution would join.
+    tasks = -(-2 * len(rows) // 100)
+    assert plan_of(got).count(f", {tasks}), REPARTITION_BY_NUM") == 4  # in the first plan and in the last
